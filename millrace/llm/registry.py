@@ -1,6 +1,6 @@
 """The queries of this folder and, where SQL can express them, their DuckDB statements."""
 
-from millrace.llm import exact, shards, warc
+from millrace.llm import exact, leaks, shards, superminhash, warc
 
-QUERIES = {f.__name__: f for f in (exact.op2_exact_dedup, warc.op4_warc, shards.op10_shard_lpt)}
+QUERIES = {f.__name__: f for f in (leaks.op1_decontaminate, exact.op2_exact_dedup, warc.op4_warc, superminhash.op5_near_dedup, shards.op10_shard_lpt)}
 ORACLE = {"op2_exact_dedup": exact.SQL, "op4_warc": warc.SQL}
