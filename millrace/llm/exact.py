@@ -150,8 +150,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     groups = scratch.keep(merge_index(rows.select("digest", "rank", ident, F.lit(1).cast("long").alias("count"))).where("count > 1"), "groups")
 
     # Hits: the rows whose digest more rows have. Their bytes are held against the text that stays.
-    hits = scratch.keep(whole.select("doc_id", plain.alias("plain"), F.unhex(F.sha2(plain, 256)).alias("digest")).join(groups.select("digest", "ident"), "digest"), "hits")
-    stays = hits.where(F.coalesce("doc_id", F.lit(NO_ID)) == F.col("ident")).groupBy("digest").agg(F.min("plain").alias("first"))
+    hits = scratch.keep(whole.select("doc_id", plain.alias("plain"), F.unhex(F.sha2(plain, 256)).alias("digest")).join(groups.select("digest", "ident").hint("merge"), "digest"), "hits")
+    stays = scratch.keep(hits.where(F.coalesce("doc_id", F.lit(NO_ID)) == F.col("ident")).groupBy("digest").agg(F.min("plain").alias("first")), "stays")
     other = hits.join(stays, "digest").where(F.col("plain") != F.col("first")).select("doc_id", "digest", "plain")
     other = scratch.keep(other, "other")
     found = rows.join(groups.select("digest", "ident", "count"), "digest", "left")
