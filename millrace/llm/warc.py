@@ -1,5 +1,8 @@
 r"""WARC archives: a writer, and a Python data source that plans files, prunes by headers and skips payloads.
 
+Archives are gzip members, one a record, as usual for .warc.gz. Each member's header has the skip lengths ("sl") that the
+standard's annex on compression describes, so that a reader can leave a member before it has inflated the payload.
+
 Writing: every row of pages becomes a WARC/1.1 record. Of records with equal payloads of at least `least` bytes the one
 with the smallest page_id is a response that holds the payload and the others are revisits that refer to it. Spark's own
 writer stores the records, so any file system will do and lost tasks leave nothing behind.
@@ -7,7 +10,8 @@ writer stores the records, so any file system will do and lost tasks leave nothi
 Reading (`spark.read.format("warc")`): the files are planned into partitions by size. Filters on record_type, target_uri,
 record_id, refers_to, payload_digest and warc_date are pushed down (with spark.sql.python.filterPushdown.enabled); a
 record's header block is parsed first, and of records that a filter rejects, and of all when option payload is false, the
-block is skipped by its Content-Length and never decoded.
+block is skipped, by the member's packed length or, in plain archives, by Content-Length, and never decoded. Compressed
+archives without skip lengths are read as one stream.
 
 Defined results: a null html is an empty payload and an empty payload is a payload like others. Of repeated page_ids with
 equal payloads one is the response (the first by warc order is not defined, but exactly one is) and all report it. A null
@@ -17,10 +21,14 @@ columns are ignored. A null page_id sorts last.
 
 from __future__ import annotations
 
+import gzip
 import io
+import struct
+import zlib
 from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,12 +55,15 @@ def base32_sha1(data):
 def typed(pages: DataFrame, least: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, payload (string), payload_bytes, payload_digest, record_type, refers_to."""
     p = pick(pages, page_id=page_id, url=url, payload=html).withColumn("payload", F.coalesce("payload", F.lit("")))
+    scratch = Scratch(pages.sparkSession, "warc-types")
     rows = p.select("page_id", "url", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload").cast("binary")).alias("payload_digest"), F.sha2("payload", 256).alias("same"))
     order = F.struct(F.col("page_id").isNull().alias("last"), "page_id")
-    first = rows.groupBy("same").agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    rows = rows.join(first.where("n > 1").select("same", F.col("first.page_id").alias("first"), F.lit(True).alias("shared")), "same", "left")
+    first = rows.groupBy("same").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = scratch.keep(first.select("same", F.col("first.page_id").alias("first"), F.lit(True).alias("shared")), "first")
+    rows = rows.join(first, "same", "left")
     # Of rows that repeat the first page_id, one holds the payload; only those that share it are numbered.
-    again = rows.groupBy("same", "page_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("same").alias("_s"), F.col("page_id").alias("_p"), F.lit(True).alias("twice"))
+    again = rows.where("shared").groupBy("same", "page_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("same").alias("_s"), F.col("page_id").alias("_p"), F.lit(True).alias("twice"))
+    again = scratch.keep(again, "again")
     rows = rows.join(again, (F.col("same") == F.col("_s")) & F.col("page_id").eqNullSafe(F.col("_p")), "left")
     nth = F.when(F.col("twice"), F.row_number().over(W.partitionBy("same", "page_id").orderBy("url"))).otherwise(1) if not again.isEmpty() else F.lit(1)
     revisit = F.coalesce("shared", F.lit(False)) & (F.col("payload_bytes") >= least) & (~F.col("page_id").eqNullSafe(F.col("first")) | (nth > 1))
@@ -77,8 +88,32 @@ def record(date: str = "2024-01-01T00:00:00Z"):
     )
 
 
-def write_warc(pages: DataFrame, path: str, least: int = 0, **columns: str) -> None:
-    typed(pages, least, **columns).select(record().alias("value")).write.option("lineSep", END + END).option("maxRecordsPerFile", FILE_RECORDS).mode("overwrite").text(path)
+def member(data: bytes) -> bytes:
+    """A gzip member with skip lengths, and a zero byte at its end."""
+    packer = zlib.compressobj(1, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush()
+    lengths = struct.pack("<II", FRAME + len(body), len(data) & 0xFFFFFFFF)
+    out = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", 12) + b"sl\x08\0" + lengths + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    return out if out[-1] == 0 else out + EMPTY
+
+
+#: A member's bytes besides its deflated body: header, extra field and trailer.
+FRAME = 10 + 2 + 12 + 8
+EMPTY = b"\x1f\x8b\x08\0\0\0\0\0\0\xff\x03" + bytes(9)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        packed = [member(x.as_buffer().to_pybytes() + b"\r\n\r\n")[:-1] for x in b.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["value"])
+
+
+def write_warc(pages: DataFrame, path: str, least: int = 0, compress: bool = True, **columns: str) -> None:
+    """The text writer puts its line separator after each value: the end of a plain record, or the zero byte that ends a member."""
+    rows = typed(pages, least, **columns).select(record().alias("value"))
+    if compress:
+        rows = rows.select(F.col("value").cast("binary")).mapInArrow(_members, "value binary").select(F.col("value").cast("string").alias("value"))
+    rows.write.option("lineSep", "\0" if compress else END + END).option("maxRecordsPerFile", FILE_RECORDS).mode("overwrite").text(path)
 
 
 class Files(InputPartition):
@@ -136,32 +171,78 @@ class WarcReader(DataSourceReader):
                 yield from records(io.BufferedReader(raw, 1 << 20), self._wanted, self.payload)
 
 
+def _headers(block: bytes) -> dict[str, str]:
+    """The fields after the version line, by lower-case name."""
+    version, *lines = block.split(b"\n")
+    if not version.startswith(b"WARC/"):
+        raise ValueError(f"no WARC record where one should begin: {version[:40]!r}")
+    fields = (x.partition(b":") for x in lines if x.strip())
+    return {k.decode("utf-8", "replace").strip().lower(): v.decode("utf-8", "replace").strip() for k, _, v in fields}
+
+
+def _filtered(head: dict[str, str]) -> dict[str, str | None]:
+    row = {name: head.get(key) for name, key in _COLUMN.items()}
+    row["payload_digest"] = (row["payload_digest"] or "").removeprefix("sha1:") or None
+    return row
+
+
+def _row(head: dict[str, str], row: dict[str, str | None], body: bytes | None) -> tuple:
+    if body is not None and "application/http" in head.get("content-type", ""):
+        body = body.partition(b"\r\n\r\n")[2]
+    declared = head.get("x-payload-length")
+    return (*(row[c] for c in ("record_type", "record_id", "target_uri", "warc_date", "payload_digest", "refers_to")), int(declared) if declared else None, int(head.get("content-length", 0)), head, body)
+
+
 def records(f, wanted=lambda row: True, payload: bool = True) -> Iterator[tuple]:
     """The rows of an open archive; f must seek."""
+    start = f.read(14)
+    f.seek(0)
+    if start[:2] != b"\x1f\x8b":
+        return _plain(f, wanted, payload)
+    if start[3] == 4 and start[12:] == b"sl":
+        return _packed(f, wanted, payload)
+    return _plain(gzip.GzipFile(fileobj=f), wanted, payload)
+
+
+def _plain(f, wanted, payload: bool) -> Iterator[tuple]:
     while line := f.readline():
         if not line.strip():
             continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record where one should begin: {line[:40]!r}")
-        head: dict[str, str] = {}
+        block = line
         while (line := f.readline()).strip():
-            name, _, value = line.partition(b":")
-            head[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-        length = int(head.get("content-length", 0))
-        row = {name: head.get(key) for name, key in _COLUMN.items()}
-        row["payload_digest"] = (row["payload_digest"] or "").removeprefix("sha1:") or None
-        if not wanted(row):
-            f.seek(length, io.SEEK_CUR)
-            continue
-        body = None
-        if payload and head.get("warc-type") != "revisit":
-            body = f.read(length)
-            if "application/http" in head.get("content-type", ""):
-                body = body.partition(b"\r\n\r\n")[2]
+            block += line
+        head = _headers(block)
+        row, length = _filtered(head), int(head.get("content-length", 0))
+        fits = wanted(row)
+        if fits and payload and row["record_type"] != "revisit":
+            yield _row(head, row, f.read(length))
         else:
             f.seek(length, io.SEEK_CUR)
-        declared = head.get("x-payload-length")
-        yield (row["record_type"], row["record_id"], row["target_uri"], row["warc_date"], row["payload_digest"], row["refers_to"], int(declared) if declared else None, length, head, body)
+            if fits:
+                yield _row(head, row, None)
+
+
+def _packed(f, wanted, payload: bool) -> Iterator[tuple]:
+    while len(begin := f.read(10)) == 10:
+        if begin[3] == 0:  # EMPTY
+            f.seek(10, io.SEEK_CUR)
+            continue
+        left = struct.unpack("<II", f.read(14)[6:])[0] - FRAME
+        inflate, text = zlib.decompressobj(-15), b""
+        while (cut := text.find(b"\r\n\r\n")) < 0 and left:
+            part = f.read(min(left, 1024))
+            left -= len(part)
+            text += inflate.decompress(part)
+        head = _headers(text[:cut])
+        row = _filtered(head)
+        fits = wanted(row)
+        if fits and payload and row["record_type"] != "revisit":
+            text += inflate.decompress(f.read(left)) + inflate.flush()
+            left = 0
+            yield _row(head, row, text[cut + 4 : cut + 4 + int(head.get("content-length", 0))])
+        elif fits:
+            yield _row(head, row, None)
+        f.seek(left + 8, io.SEEK_CUR)
 
 
 class WarcSource(DataSource):
