@@ -59,13 +59,13 @@ def shard_lpt(docs: DataFrame, shards: int = SHARDS, text: str = "text", doc_id:
     most = max(1, total // (shards * FINE))
     loads = [0] * shards
     large = groups.where(F.col("bytes") > most)  # fewer than shards * FINE rows, as their sum is at most total
-    top = list(lpt(((r["bytes"], bytes(r["digest"])) for r in large.toLocalIterator()), loads))
+    top = list(lpt(((r["bytes"], bytes(r["digest"])) for r in large.collect()), loads))
     # Buckets grow in number with the rows, so that no bucket has more than about half a million groups.
     buckets = min(4096, max(BUCKETS, rows.count() // 500_000))
     small = groups.where(F.col("bytes") <= most).withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int"))
     small = scratch.keep(small.groupBy("bucket").applyInPandas(_bins(shards), "digest binary, bytes long, bucket int, bin int"), "small")
     bins = small.groupBy("bucket", "bin").agg(F.sum("bytes").alias("bytes"))  # at most shards * buckets rows
-    low = list(lpt(((r["bytes"], (r["bucket"], r["bin"])) for r in bins.toLocalIterator()), loads))
+    low = list(lpt(((r["bytes"], (r["bucket"], r["bin"])) for r in bins.collect()), loads))
     of_bin = spark.createDataFrame([(b, i, s) for (b, i), s in low], "bucket int, bin int, shard int")
     of_top = spark.createDataFrame([(bytearray(d), s) for d, s in top], "digest binary, shard int")
     placed = small.join(F.broadcast(of_bin), ["bucket", "bin"]).select("digest", "shard").unionByName(of_top)
