@@ -179,7 +179,7 @@ def _decided(found: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without the rows that exact_dedup drops; of wholly repeated rows with the id that stays, one stays."""
     found = exact_dedup(docs, text, doc_id)
-    out = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_out")).distinct()
+    out = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_out")).distinct().hint("merge")
     kept = docs.join(out, docs[doc_id].cast("long") == F.col("_out"), "left_anti")
     twice = found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_out"))
     if twice.isEmpty():

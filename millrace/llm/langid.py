@@ -270,7 +270,7 @@ def keep_languages(docs: DataFrame, languages: set[str] | None = None, least: fl
         known = pc.and_(pc.not_equal(out.column(2), "und"), pc.greater_equal(out.column(3), least))
         return known if languages is None else pc.and_(known, pc.is_in(out.column(2), pa.array(sorted(languages))))
 
-    return docs.where(fits(F.col(text)))
+    return docs.where(fits(F.col(f"`{text}`")))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,10 +132,26 @@ def known_passages(rows: DataFrame, items: DataFrame) -> Iterator[Passages]:
             yield known
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without those that hold a copy of an item."""
-    found = leaks(docs, items, min_score, text, doc_id).select(F.col("doc_id").alias("_out")).distinct()
-    return docs.join(found, docs[doc_id].cast("long") == F.col("_out"), "left_anti")
+def _leaked(known: Passages, min_score: float):
+    scan = _scan(known, min_score)
+
+    @F.arrow_udf("boolean")
+    def leaked(column: pa.Array) -> pa.Array:
+        hit = np.zeros(len(column), bool)
+        for out in scan(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(len(column))), column], names=["doc_id", "text"])])):
+            hit[out.column(0).to_numpy()] = True
+        return pa.array(hit)
+
+    return leaked
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without those that hold a copy of an item; nothing is shuffled."""
+    prepare(docs.sparkSession)
+    rows = pick(docs, text=text)
+    for known in known_passages(rows, pick(items, item_id=item_id, text=item_text)):
+        docs = docs.where(~_leaked(known, min_score)(F.col(f"`{text}`")))
+    return docs
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """The queries of this folder and, where SQL can express them, their DuckDB statements."""
 
-from millrace.llm import counts, exact, langid, leaks, pieces, pll, shards, superminhash, warc
+from millrace.llm import counts, exact, langid, leaks, licenses, pieces, pll, shards, superminhash, warc
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         pll.op3_pseudo_likelihood,
         warc.op4_warc,
         superminhash.op5_near_dedup,
+        licenses.op6_license_scan,
         langid.op7_language_id,
         counts.op8_token_counts,
         pieces.op9_sentencepiece,
