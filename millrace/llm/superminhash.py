@@ -6,10 +6,11 @@ twice), which gives lower variance than independent hashes, and a set stops as s
 
 Grouping. Documents of equal sets form a class, represented by its smallest id; only classes go on. 32 bands of 4 places
 make buckets: of two sets of similarity 0.8 at least one bucket is shared but for 5 in 10**8. A bucket is never expanded
-into all its pairs. Each has a hub of its own (bands choose differently), and every member is verified against it on the
-full sets; union-find joins the links. Buckets that then hold more than one component go through further rounds with
-other hubs, and what still holds several components after them is compared pair by pair across components only, so no
-link between components is lost.
+into all its pairs. Each has a hub, and every member is verified against it on
+the full sets; union-find joins the links. Hubs are the members that share most buckets with others, so the text that a group
+of edited copies comes from is an early hub. A hub that has met all others leaves its bucket, and buckets that still hold
+more than one component go on with the next hubs until none is left, so no link between components is lost. Before the
+full sets are compared, two bits of each place must agree as often as for similarity 0.8 less six standard deviations.
 
 Defined results: no shingles (null, empty or white text) means no links; a null doc_id is linked with nothing and kept.
 Repeated rows are copies of each other and report alike. A doc_id that stands for several texts is one node with the
@@ -19,11 +20,13 @@ links of all. An empty table gives an empty result. Further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm import words as wd
@@ -31,8 +34,8 @@ from millrace.llm.common import Scratch, pick, table
 
 PLACES, BANDS = 128, 32
 ROWS = PLACES // BANDS
-#: Rounds in which each bucket has one hub, before buckets of several components are compared across components.
-HUB_ROUNDS = 2
+#: Hubs of a bucket in the first round; each later round takes four times as many, so that any bucket ends soon.
+HUBS = 1
 
 
 def signatures(elements: np.ndarray, off: np.ndarray, m: int = PLACES) -> np.ndarray:
@@ -73,7 +76,19 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return wd.mix(key).view(np.int64)
 
 
-_SKETCH = "doc_id long, n long, digest binary, bands array<bigint>"
+def planes(sig: np.ndarray) -> np.ndarray:
+    """docs x 4 longs: the lowest bit of all 128 places, then the next."""
+    bits = np.stack([(sig >> b & 1).astype(np.uint8) for b in (0, 1)], axis=1)
+    return np.packbits(bits.reshape(len(sig), -1), axis=1).copy().view("<i8").reshape(len(sig), 4)
+
+
+def least_agreement(percent: int) -> int:
+    """Places whose two bits agree, six standard deviations below what sets of that similarity have."""
+    p = percent / 100 + (1 - percent / 100) / 4
+    return max(0, math.floor(PLACES * p - 6 * math.sqrt(PLACES * p * (1 - p))))
+
+
+_SKETCH = "doc_id long, n long, digest binary, bands array<bigint>, bits array<bigint>"
 
 
 def _sketch(n: int):
@@ -83,10 +98,12 @@ def _sketch(n: int):
             for lo, hi in wd.slices(off):
                 part = off[lo : hi + 1]
                 els, at = wd.sets(data[part[0] : part[-1]], part - part[0], n)
-                keys = band_keys(signatures(els, at))
+                sig = signatures(els, at)
+                keys = band_keys(sig)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * 4), pa.array(planes(sig).reshape(-1)))
                 digests = [hashlib.blake2b(els[s:e].tobytes(), digest_size=16).digest() for s, e in zip(at[:-1], at[1:], strict=True)]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(digests, pa.binary()), bands], names=["doc_id", "n", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(digests, pa.binary()), bands, bits], names=["doc_id", "n", "digest", "bands", "bits"])
 
     return run
 
@@ -169,10 +186,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", inter.alias("i"), (F.size("els_a") + F.size("els_b") - inter).alias("u")).where(F.expr(f"100 * i >= {percent} * u")).select("a", "b").distinct()
 
 
-def _ordered(x: str, y: str):
-    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
-
-
 def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame, Scratch]:
     """Sketches (doc_id, n, digest), and classes of equal sets (digest, rep, size, comp)."""
     spark = docs.sparkSession
@@ -180,40 +193,41 @@ def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str
     rows = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     sketch = scratch.keep(rows.mapInArrow(_sketch(shingle), _SKETCH), "sketch")
     known = sketch.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = scratch.keep(classes, "classes")
-    banded = classes.select("rep", "n", F.explode("bands").alias("band"))
-    shared = scratch.keep(banded.groupBy("band").count().where("count > 1").select("band"), "shared")
-    live = scratch.keep(banded.join(shared, "band").withColumn("comp", F.col("rep")), "live")
-    involved = live.select(F.col("rep").alias("doc_id")).distinct()
-    sets = scratch.keep(rows.join(involved, "doc_id").select("doc_id", "text").mapInArrow(_full_sets(shingle), "rep long, els array<bigint>").where("size(els) > 0"), "sets")
-
-    near = F.expr(f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
-    edges, comps, done = None, None, False
-    for turn in range(HUB_ROUNDS):
-        hub = F.min_by(F.struct("rep", "n", "comp"), F.xxhash64("rep", "band", F.lit(turn))).alias("hub")
-        hubs = live.groupBy("band").agg(hub, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "hub")
-        hubs = scratch.keep(hubs, f"hubs{turn}")
-        pairs = live.join(hubs, "band").where((F.col("comp") != F.col("hub.comp")) & near).select(*_ordered("rep", "hub.rep")).distinct()
-        edges, comps = _joined(_verified(pairs, sets, percent), edges, comps, scratch, f"hub{turn}")
-        mixed = _relabelled(live, comps)
-        open_ = mixed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-        live, old = scratch.keep(mixed.join(open_, "band", "left_semi"), f"live{turn}"), f"live{turn - 1}" if turn else "live"
-        scratch.drop(old)
-        if done := live.isEmpty():
-            break
-    if not done:
-        x, y = live.alias("x"), live.alias("y")
-        pairs = x.join(y, F.expr(f"x.band = y.band and x.comp < y.comp and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")).select(*_ordered("x.rep", "y.rep")).distinct()
-        edges, comps = _joined(_verified(pairs, sets, percent), edges, comps, scratch, "cross")
-    return sketch, _relabelled(classes.select("digest", "rep", "size", F.col("rep").alias("comp")), comps), scratch
-
-
-def _joined(found: DataFrame, edges: DataFrame | None, comps: DataFrame | None, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """All links so far, and the components over them (a component so far counts as links to its smallest node)."""
-    found = scratch.keep(found, f"{name}-edges")
-    known = found if comps is None else found.union(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-    return (found if edges is None else edges.union(found)), components(known, scratch, f"{name}-cc")
+    banded = classes.select("rep", "n", "bits", F.explode("bands").alias("band"))
+    shared = scratch.keep(banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "shared")
+    live = scratch.keep(banded.join(shared.hint("merge"), "band"), "banded")
+    weights = scratch.keep(live.groupBy("rep").agg(F.sum("members").alias("weight")), "weights")
+    sets = rows.join(weights.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id").select("doc_id", "text")
+    sets = scratch.keep(sets.mapInArrow(_full_sets(shingle), "rep long, els array<bigint>").where("size(els) > 0"), "sets")
+    live = scratch.keep(live.drop("members").join(weights.hint("merge"), "rep").select("band", "rep", "n", "bits", "weight", F.col("rep").alias("comp")), "live")
+    scratch.drop("banded")
+    comps, turn = None, 0
+    while not live.isEmpty():
+        rank = F.row_number().over(W.partitionBy("band").orderBy(F.desc("weight"), "rep"))
+        hubs = live.withColumn("rank", rank).where(F.col("rank") <= HUBS * 4**turn)
+        hubs = scratch.keep(hubs.select("band", *[F.col(c).alias(f"hub_{c}") for c in ("rep", "n", "bits", "comp")]), f"hubs{turn}")
+        pairs = live.join(hubs, "band").where((F.col("comp") != F.col("hub_comp")) & F.expr(_near(percent))).select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("b")).distinct()
+        found = scratch.keep(_verified(pairs, sets, percent), f"links{turn}")
+        if comps is not None:  # a component so far counts as links to its smallest node
+            found = found.union(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+        comps = components(found, scratch, f"cc{turn}-")
+        left = live.join(hubs.select("band", F.col("hub_rep").alias("rep")), ["band", "rep"], "left_anti")
+        mixed = scratch.keep(_relabelled(left, comps), f"mixed{turn}")
+        open_ = scratch.keep(mixed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band"), f"open{turn}")
+        live = scratch.keep(mixed.join(open_, "band", "left_semi"), f"live{turn}")
+        for old in (f"mixed{turn}", f"hubs{turn}", f"live{turn - 1}" if turn else "live"):
+            scratch.drop(old)
+        turn += 1
+    known = classes.select("digest", "rep", "size", F.col("rep").alias("comp"))
+    return sketch, known if comps is None else _relabelled(known, comps), scratch
+
+
+def _near(percent: int) -> str:
+    """Whether sizes and signature bits let two sets be similar enough."""
+    differ = " + ".join(f"bit_count((bits[{k}] ^ hub_bits[{k}]) | (bits[{k + 2}] ^ hub_bits[{k + 2}]))" for k in (0, 1))
+    return f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n) and {PLACES} - ({differ}) >= {least_agreement(percent)}"
 
 
 def _relabelled(df: DataFrame, comps: DataFrame) -> DataFrame:
@@ -231,7 +245,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str =
 
 def drop_near(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with one document of each group: the one with the smallest id."""
-    out = near_dedup(docs, shingle, percent, text, doc_id).where("not kept").select(F.col("doc_id").alias("_out")).distinct()
+    out = near_dedup(docs, shingle, percent, text, doc_id).where("not kept").select(F.col("doc_id").alias("_out")).distinct().hint("merge")
     return docs.join(out, docs[doc_id].cast("long") == F.col("_out"), "left_anti")
 
 
