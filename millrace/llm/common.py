@@ -90,3 +90,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under names of our own, so that further columns of any name are no matter."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, doc_id: str, how: str) -> DataFrame:
+    """docs joined (left_anti or left_semi) with the one column of ids; null ids meet null ids."""
+    name = fresh(docs, "_id")
+    ids = ids.toDF(name).hint("merge")
+    mine = docs[f"`{doc_id}`"].cast("long")
+    return docs.join(ids, (F.coalesce(mine, F.lit(0)) == F.coalesce(F.col(name), F.lit(0))) & (mine.isNull() == F.col(name).isNull()), how)

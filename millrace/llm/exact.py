@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, pick, table
+from millrace.llm.common import Scratch, by_ids, pick, table
 
 WHITE = " \t\n\x0b\x0c\r"
 NO_ID = (1 << 63) - 1  # where an id is null
@@ -179,13 +179,12 @@ def _decided(found: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without the rows that exact_dedup drops; of wholly repeated rows with the id that stays, one stays."""
     found = exact_dedup(docs, text, doc_id)
-    out = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_out")).distinct().hint("merge")
-    kept = docs.join(out, docs[doc_id].cast("long") == F.col("_out"), "left_anti")
-    twice = found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_out"))
+    kept = by_ids(docs, found.where("not kept and doc_id is not null").select("doc_id").distinct(), doc_id, "left_anti")
+    twice = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept
-    one = kept.join(twice, kept[doc_id].cast("long").eqNullSafe(F.col("_out")), "left_semi").dropDuplicates([doc_id])
-    return kept.join(twice, kept[doc_id].cast("long").eqNullSafe(F.col("_out")), "left_anti").unionByName(one)
+    one = by_ids(kept, twice, doc_id, "left_semi").dropDuplicates([doc_id])
+    return by_ids(kept, twice, doc_id, "left_anti").unionByName(one)
 
 
 def digest_of(text: str | None) -> bytes:

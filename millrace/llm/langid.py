@@ -161,14 +161,11 @@ class Network:
         """Mean probabilities over all bytes of each document; zeros for one without bytes."""
         sums = np.zeros((len(off) - 1, len(self.languages)))
         starts, owner = _windows(off)
-        order = np.argsort(np.minimum(WINDOW, off[owner + 1] - starts), kind="stable")  # windows of a length together
-        starts, owner = starts[order], owner[order]
-        ends = np.minimum(starts + WINDOW, off[owner + 1])
+        ends, steps = np.minimum(starts + WINDOW, off[owner + 1]), np.arange(WINDOW)[:, None]
         for lo in range(0, len(starts), rows):
-            s, e = starts[lo : lo + rows], ends[lo : lo + rows]
-            at = s[None, :] + np.arange(int((e - s).max()))[:, None]
-            inside = at < e
-            x = np.where(inside, data[np.minimum(at, len(data) - 1)], 256)
+            at = starts[None, lo : lo + rows] + steps
+            inside = at < ends[lo : lo + rows]  # windows are filled up as in training, so a result hangs on the text alone
+            x = np.where(inside, data[np.minimum(at, len(data) - 1)].astype(np.int16), np.int16(256))
             p, _ = self.positions(x)
             if not inside.all():
                 p *= inside[:, :, None]

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm import words as wd
-from millrace.llm.common import Scratch, pick, table
+from millrace.llm.common import Scratch, by_ids, pick, table
 
 PLACES, BANDS = 128, 32
 ROWS = PLACES // BANDS
@@ -245,8 +245,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str =
 
 def drop_near(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with one document of each group: the one with the smallest id."""
-    out = near_dedup(docs, shingle, percent, text, doc_id).where("not kept").select(F.col("doc_id").alias("_out")).distinct().hint("merge")
-    return docs.join(out, docs[doc_id].cast("long") == F.col("_out"), "left_anti")
+    return by_ids(docs, near_dedup(docs, shingle, percent, text, doc_id).where("not kept").select("doc_id").distinct(), doc_id, "left_anti")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

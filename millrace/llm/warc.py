@@ -7,11 +7,13 @@ Writing: every row of pages becomes a WARC/1.1 record. Of records with equal pay
 with the smallest page_id is a response that holds the payload and the others are revisits that refer to it. Spark's own
 writer stores the records, so any file system will do and lost tasks leave nothing behind.
 
-Reading (`spark.read.format("warc")`): the files are planned into partitions by size. Filters on record_type, target_uri,
-record_id, refers_to, payload_digest and warc_date are pushed down (with spark.sql.python.filterPushdown.enabled); a
-record's header block is parsed first, and of records that a filter rejects, and of all when option payload is false, the
-block is skipped, by the member's packed length or, in plain archives, by Content-Length, and never decoded. Compressed
-archives without skip lengths are read as one stream.
+Reading (`spark.read.format("warc")`): the files are planned into partitions by size. Predicates on record_type, target_uri,
+record_id, refers_to, payload_digest and warc_date are pushed down, those of read_warc's `where` always, and a query's
+filters with spark.sql.python.filterPushdown.enabled. (That setting is left as it is: Spark keeps the filters last pushed
+with the loaded source, so a DataFrame that one plan uses twice, with other filters each time, gets wrong rows.) A
+record's header block is parsed first, and of records that a predicate rejects, and of all when option payload is false,
+the block is skipped, by the member's packed length or, in plain archives, by Content-Length, and never decoded.
+Compressed archives without skip lengths are read as one stream.
 
 Defined results: a null html is an empty payload and an empty payload is a payload like others. Of repeated page_ids with
 equal payloads one is the response (the first by warc order is not defined, but exactly one is) and all report it. A null
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -135,6 +138,10 @@ class WarcReader(DataSourceReader):
         self.path, self.split = options["path"], int(options.get("splitbytes", SPLIT_BYTES))
         self.payload = options.get("payload", "true").lower() != "false"
         self.filters: list[tuple[str, str, Any]] = []
+        for name, value in json.loads(options.get("where") or "{}").items():
+            if name not in _COLUMN:
+                raise ValueError(f"no header column {name!r}")
+            self.filters.append(("IsNull" if value is None else "In" if isinstance(value, list) else "EqualTo", name, value))
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -246,7 +253,7 @@ def _packed(f, wanted, payload: bool) -> Iterator[tuple]:
 
 
 class WarcSource(DataSource):
-    """Options: path; payload (false: blocks are skipped); splitBytes."""
+    """Options: path; payload (false: blocks are skipped); where (JSON, as for read_warc); splitBytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -259,10 +266,10 @@ class WarcSource(DataSource):
         return WarcReader({k.lower(): v for k, v in self.options.items()})
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read_warc(spark: SparkSession, path: str, payload: bool = True, where: dict[str, str | list[str] | None] | None = None) -> DataFrame:
+    """where: the values that header columns must have (one, any of a list, or None), tested before a payload is read."""
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("where", json.dumps(where or {})).load(path)
 
 
 def digest_rows(archive: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def words(data: np.ndarray, off: np.ndarray, kind: np.ndarray = SOLID) -> tuple[
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of n consecutive words from each word on; the last n - 1 entries run over what follows."""
     out = np.zeros(len(hashes), np.uint64)
-    for k in range(n):
+    for k in range(min(n, len(hashes))):
         out[: len(hashes) - k] = out[: len(hashes) - k] * _P + mix(hashes[k:] + np.uint64(k + 1))
     return mix(out)
 
