@@ -9,8 +9,9 @@ writer stores the records, so any file system will do and lost tasks leave nothi
 
 Reading (`spark.read.format("warc")`): the files are planned into partitions by size. Predicates on record_type, target_uri,
 record_id, refers_to, payload_digest and warc_date are pushed down, those of read_warc's `where` always, and a query's
-filters with spark.sql.python.filterPushdown.enabled. (That setting is left as it is: Spark keeps the filters last pushed
-with the loaded source, so a DataFrame that one plan uses twice, with other filters each time, gets wrong rows.) A
+filters with option pushdown and the session's spark.sql.python.filterPushdown.enabled. (That isn't the default: Spark keeps
+the filters last pushed with the loaded source, so a DataFrame that one plan uses twice, with other filters each time, gets
+wrong rows.) A
 record's header block is parsed first, and of records that a predicate rejects, and of all when option payload is false,
 the block is skipped, by the member's packed length or, in plain archives, by Content-Length, and never decoded.
 Compressed archives without skip lengths are read as one stream.
@@ -143,14 +144,6 @@ class WarcReader(DataSourceReader):
                 raise ValueError(f"no header column {name!r}")
             self.filters.append(("IsNull" if value is None else "In" if isinstance(value, list) else "EqualTo", name, value))
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            name = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
-            if name in _COLUMN and isinstance(f, (EqualTo, In, IsNull, IsNotNull, StringStartsWith)):
-                self.filters.append((type(f).__name__, name, getattr(f, "value", None)))
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
@@ -178,6 +171,18 @@ class WarcReader(DataSourceReader):
                 yield from records(io.BufferedReader(raw, 1 << 20), self._wanted, self.payload)
 
 
+class PushingReader(WarcReader):
+    """Takes a query's own filters too."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            name = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
+            if name in _COLUMN and isinstance(f, (EqualTo, In, IsNull, IsNotNull, StringStartsWith)):
+                self.filters.append((type(f).__name__, name, getattr(f, "value", None)))
+            else:
+                yield f
+
+
 def _headers(block: bytes) -> dict[str, str]:
     """The fields after the version line, by lower-case name."""
     version, *lines = block.split(b"\n")
@@ -253,7 +258,7 @@ def _packed(f, wanted, payload: bool) -> Iterator[tuple]:
 
 
 class WarcSource(DataSource):
-    """Options: path; payload (false: blocks are skipped); where (JSON, as for read_warc); splitBytes."""
+    """Options: path; payload (false: blocks are skipped); where (JSON, as for read_warc); pushdown (true: a query's filters too); splitBytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -263,7 +268,8 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader({k.lower(): v for k, v in self.options.items()})
+        options = {k.lower(): v for k, v in self.options.items()}
+        return (PushingReader if options.get("pushdown") == "true" else WarcReader)(options)
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True, where: dict[str, str | list[str] | None] | None = None) -> DataFrame:

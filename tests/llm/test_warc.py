@@ -71,10 +71,10 @@ def test_predicates_are_pushed_and_payloads_left(spark, pages, tmp_path):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     try:
         for test, n in tests:
-            assert warc.read_warc(spark, path).where(test).count() == n
+            assert spark.read.format("warc").option("pushdown", "true").load(path).where(test).count() == n
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
-    reader = warc.WarcReader({"path": path})
+    reader = warc.PushingReader({"path": path})
     left = list(reader.pushFilters([EqualTo(("record_type",), "revisit"), GreaterThan(("payload_length",), 3)]))
     assert [type(f).__name__ for f in left] == ["GreaterThan"]
     assert sum(1 for p in reader.partitions() for _ in reader.read(p)) == 2
