@@ -6,11 +6,14 @@ twice), which gives lower variance than independent hashes, and a set stops as s
 
 Grouping. Documents of equal sets form a class, represented by its smallest id; only classes go on. 32 bands of 4 places
 make buckets: of two sets of similarity 0.8 at least one bucket is shared but for 5 in 10**8. A bucket is never expanded
-into all its pairs. Each has a hub, and every member is verified against it on
-the full sets; union-find joins the links. Hubs are the members that share most buckets with others, so the text that a group
-of edited copies comes from is an early hub. A hub that has met all others leaves its bucket, and buckets that still hold
-more than one component go on with the next hubs until none is left, so no link between components is lost. Before the
-full sets are compared, two bits of each place must agree as often as for similarity 0.8 less six standard deviations.
+into all its pairs. In the first round, each member meets one hub, of the hubs of its buckets (a bucket's hub is the member
+that shares most buckets with others) the one that shares most, so that a large group falls together at little cost; links
+are verified on the full sets and union-find joins them. Buckets that still hold several components go on: in each round,
+some members outside the bucket's largest component (OUTSIDERS, then MORE times as many) meet all members of other components.
+A bucket is left when all of its outsiders have met all others or joined, so no link between components is lost. Before the
+full sets are compared, two bits of each place must agree as often as for similarity 0.8 less six standard deviations, and
+the parities of the elements by PARITY parts of the hash may differ in no more bits than the sets may in elements (each
+element in one set alone flips one bit, so this loses nothing).
 
 Defined results: no shingles (null, empty or white text) means no links; a null doc_id is linked with nothing and kept.
 Repeated rows are copies of each other and report alike. A doc_id that stands for several texts is one node with the
@@ -34,8 +37,11 @@ from millrace.llm.common import Scratch, by_ids, pick, table
 
 PLACES, BANDS = 128, 32
 ROWS = PLACES // BANDS
-#: Hubs of a bucket in the first round; each later round takes four times as many, so that any bucket ends soon.
-HUBS = 1
+PARITY = 1024
+#: Outsiders of a bucket that meet all others in the second round; each later round takes MORE times as many.
+OUTSIDERS, MORE = 256, 16
+#: Up to so many edges one task joins alone; more are contracted in parallel first.
+ALONE = 1 << 20
 
 
 def signatures(elements: np.ndarray, off: np.ndarray, m: int = PLACES) -> np.ndarray:
@@ -82,6 +88,18 @@ def planes(sig: np.ndarray) -> np.ndarray:
     return np.packbits(bits.reshape(len(sig), -1), axis=1).copy().view("<i8").reshape(len(sig), 4)
 
 
+def parities(elements: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """docs x PARITY / 64 longs: for each part of the hash whether it has an odd number of elements."""
+    out = np.zeros((len(off) - 1, PARITY // 64), np.int64)
+    place = (elements >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64)
+    for lo in range(0, len(out), 1024):
+        hi = min(lo + 1024, len(out))
+        doc = np.repeat(np.arange(hi - lo), np.diff(off[lo : hi + 1]))
+        odd = np.bincount(doc * PARITY + place[off[lo] : off[hi]], minlength=(hi - lo) * PARITY) & 1
+        out[lo:hi] = np.packbits(odd.astype(np.uint8)).view("<i8").reshape(hi - lo, -1)
+    return out
+
+
 def least_agreement(percent: int) -> int:
     """Places whose two bits agree, six standard deviations below what sets of that similarity have."""
     p = percent / 100 + (1 - percent / 100) / 4
@@ -100,7 +118,8 @@ def _sketch(n: int):
                 els, at = wd.sets(data[part[0] : part[-1]], part - part[0], n)
                 sig = signatures(els, at)
                 keys = band_keys(sig)
-                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * 4), pa.array(planes(sig).reshape(-1)))
+                bits = np.concatenate([planes(sig), parities(els, at)], axis=1)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.reshape(-1)))
                 digests = [hashlib.blake2b(els[s:e].tobytes(), digest_size=16).digest() for s, e in zip(at[:-1], at[1:], strict=True)]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(digests, pa.binary()), bands, bits], names=["doc_id", "n", "digest", "bands", "bits"])
@@ -153,9 +172,12 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """node, comp for each node that is not the smallest of its component.
 
-    Each task contracts its own edges by union-find; large and small stars then alternate until only stars are left.
+    Each task contracts its own edges by union-find. What is left goes to one task if it is at most ALONE edges; of more, large
+    and small stars alternate until only stars are left.
     """
     e = scratch.keep(edges.select("a", "b").mapInArrow(_forest, "a long, b long").distinct(), f"{name}0")
+    if e.count() <= ALONE:
+        return scratch.keep(e.repartition(1).mapInArrow(_forest, "a long, b long"), f"{name}1").toDF("node", "comp")
     k = 0
     while not _stars(e):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -195,39 +217,53 @@ def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str
     known = sketch.where("n > 0 and doc_id is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = scratch.keep(classes, "classes")
-    banded = classes.select("rep", "n", "bits", F.explode("bands").alias("band"))
+    banded = classes.select("rep", F.explode("bands").alias("band"))
     shared = scratch.keep(banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "shared")
     live = scratch.keep(banded.join(shared.hint("merge"), "band"), "banded")
-    weights = scratch.keep(live.groupBy("rep").agg(F.sum("members").alias("weight")), "weights")
-    sets = rows.join(weights.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id").select("doc_id", "text")
+    weights = live.groupBy("rep").agg(F.sum("members").alias("weight"))
+    nodes = scratch.keep(classes.select("rep", "n", "bits").join(weights.hint("merge"), "rep"), "nodes")
+    sets = rows.join(nodes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id").select("doc_id", "text")
     sets = scratch.keep(sets.mapInArrow(_full_sets(shingle), "rep long, els array<bigint>").where("size(els) > 0"), "sets")
-    live = scratch.keep(live.drop("members").join(weights.hint("merge"), "rep").select("band", "rep", "n", "bits", "weight", F.col("rep").alias("comp")), "live")
+    live = scratch.keep(live.select("band", "rep").join(nodes.hint("merge"), "rep").withColumn("comp", F.col("rep")), "live")
     scratch.drop("banded")
-    comps, turn = None, 0
-    while not live.isEmpty():
-        rank = F.row_number().over(W.partitionBy("band").orderBy(F.desc("weight"), "rep"))
-        hubs = live.withColumn("rank", rank).where(F.col("rank") <= HUBS * 4**turn)
-        hubs = scratch.keep(hubs.select("band", *[F.col(c).alias(f"hub_{c}") for c in ("rep", "n", "bits", "comp")]), f"hubs{turn}")
-        pairs = live.join(hubs, "band").where((F.col("comp") != F.col("hub_comp")) & F.expr(_near(percent))).select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("b")).distinct()
-        found = scratch.keep(_verified(pairs, sets, percent), f"links{turn}")
+    fields = ("rep", "n", "bits", "comp", "weight")
+    of_hub = [F.col(c).alias(f"hub_{c}") for c in fields]
+    first = F.max_by(F.struct(*fields), F.struct("weight", -F.col("rep")))
+    hubs = live.groupBy("band").agg(first.alias("hub")).select("band", "hub.*").select("band", *of_hub)
+    met = _meeting(live, hubs, percent).groupBy("rep").agg(F.max_by("hub_rep", F.struct("hub_weight", -F.col("hub_rep"))).alias("hub_rep"))
+    comps, turn, most = None, 0, OUTSIDERS
+    while True:
+        pairs = met.select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("b")).distinct()
+        found = _verified(pairs, sets, percent)
         if comps is not None:  # a component so far counts as links to its smallest node
             found = found.union(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
         comps = components(found, scratch, f"cc{turn}-")
-        left = live.join(hubs.select("band", F.col("hub_rep").alias("rep")), ["band", "rep"], "left_anti")
-        mixed = scratch.keep(_relabelled(left, comps), f"mixed{turn}")
-        open_ = scratch.keep(mixed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band"), f"open{turn}")
-        live = scratch.keep(mixed.join(open_, "band", "left_semi"), f"live{turn}")
-        for old in (f"mixed{turn}", f"hubs{turn}", f"live{turn - 1}" if turn else "live"):
-            scratch.drop(old)
+        live, old = scratch.keep(_relabelled(live, comps), f"live{turn}"), f"live{turn - 1}" if turn else "live"
+        scratch.drop(old)
         turn += 1
+        # Members outside the largest component of their bucket, as many as this round takes.
+        sizes = live.groupBy("band", "comp").count().groupBy("band").agg(F.max_by("comp", F.struct("count", -F.col("comp"))).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+        rank = F.row_number().over(W.partitionBy("band").orderBy(F.desc("weight"), "rep"))
+        outside = live.join(sizes.select("band", "main").hint("merge"), "band").where("comp <> main").withColumn("rank", rank).where(F.col("rank") <= most + 1)
+        outside = scratch.keep(outside, f"outside{turn}")
+        if outside.isEmpty():
+            break
+        met = _meeting(live, outside.where(F.col("rank") <= most).select("band", *of_hub), percent).select("rep", "hub_rep")
+        live = live.join(outside.where(F.col("rank") > most).select("band").hint("merge"), "band", "left_semi")
+        most *= MORE
     known = classes.select("digest", "rep", "size", F.col("rep").alias("comp"))
     return sketch, known if comps is None else _relabelled(known, comps), scratch
 
 
+def _meeting(live: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    return live.join(hubs, "band").where((F.col("comp") != F.col("hub_comp")) & F.expr(_near(percent)))
+
+
 def _near(percent: int) -> str:
-    """Whether sizes and signature bits let two sets be similar enough."""
+    """Whether sizes, signature bits and parities let two sets be similar enough."""
     differ = " + ".join(f"bit_count((bits[{k}] ^ hub_bits[{k}]) | (bits[{k + 2}] ^ hub_bits[{k + 2}]))" for k in (0, 1))
-    return f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n) and {PLACES} - ({differ}) >= {least_agreement(percent)}"
+    flipped = " + ".join(f"bit_count(bits[{k}] ^ hub_bits[{k}])" for k in range(4, 4 + PARITY // 64))
+    return f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n) and {PLACES} - ({differ}) >= {least_agreement(percent)} and {100 + percent} * ({flipped}) <= {100 - percent} * (n + hub_n)"
 
 
 def _relabelled(df: DataFrame, comps: DataFrame) -> DataFrame:

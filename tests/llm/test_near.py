@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from millrace.llm import superminhash as sm
 
@@ -62,13 +63,27 @@ def test_edited_copies_in_groups(spark):
     same(sm.near_dedup(documents(spark, rows), shingle=5), brute(rows, 5, 80), COLUMNS)
 
 
-def test_a_chain_joins_its_ends(spark):
-    """Each text is near the next only, and the whole is one component."""
+@pytest.mark.parametrize("alone", [sm.ALONE, 0])
+def test_a_chain_joins_its_ends(spark, monkeypatch, alone):
+    """Each text is near the next only, and the whole is one component; in one task, or by stars."""
+    monkeypatch.setattr(sm, "ALONE", alone)
     words = [f"w{k}" for k in range(400)]
     rows = [(100 - k, " ".join(words[k * 5 : k * 5 + 100]), "en", "s") for k in range(50)]
     same(sm.near_dedup(documents(spark, rows), shingle=4), brute(rows, 4, 80), COLUMNS)
 
 
+def test_a_bucket_of_many_components_takes_rounds(spark, monkeypatch):
+    """Texts that share buckets with all others, but are near few."""
+    monkeypatch.setattr(sm, "OUTSIDERS", 2)
+    monkeypatch.setattr(sm, "MORE", 2)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join([*base, *[f"x{rng.randrange(40)}" for _ in range(rng.choice([9, 12, 30, 40]))]]), "en", "s") for k in range(60)]
+    want = brute(rows, 4, 80)
+    assert 1 < len({r[2] for r in want}) < 60
+    same(sm.near_dedup(documents(spark, rows), shingle=4), want, COLUMNS)
+
+
 def test_query_equals_brute_force(spark, tiny):
     rows = [tuple(r) for r in spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()]
     same(sm.op5_near_dedup(spark, tiny), brute(rows, 4, 80), COLUMNS)
@@ -90,3 +105,12 @@ def test_each_element_visits_a_permutation():
     sig = sm.signatures(np.array([12345], np.uint64), np.array([0, 1]))
     assert sorted(sig[0] >> 24) == list(range(sm.PLACES))
     assert (sm.signatures(np.zeros(0, np.uint64), np.array([0, 0])) == 0xFFFFFFFF).all()
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(9)
+    both, a, b = (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (300, 40, 25))
+    p = sm.parities(np.concatenate([both, a, both, b]), np.array([0, 340, 665, 665]))
+    flipped = sum(int(x).bit_count() for x in (p[0] ^ p[1]).view(np.uint64))
+    assert 45 <= flipped <= 65 and (p[2] == 0).all()
+    assert sum(int(x).bit_count() for x in p[0].view(np.uint64)) == (np.bincount((np.concatenate([both, a]) >> np.uint64(54)).astype(int)) % 2).sum()
