@@ -111,7 +111,8 @@ def cosine_edges(docs: DataFrame, threshold: float, vector: str = "embedding", b
     first = rows.groupBy("v").agg(F.min("doc_id").alias("rep"))
     classes = scratch.keep(rows.join(first, "v").select("doc_id", "rep"), "classes")
     reps = scratch.keep(first, "reps")
-    sample = [r["v"] for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(pivots).collect()]  # at most `pivots` rows
+    wanted = min(pivots, reps.count() // (block // 4) + 1)  # cells of about a quarter of a block, so blocks are few where rows are
+    sample = [r["v"] for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(wanted).collect()]  # at most `pivots` rows
     if not sample:
         return spark.createDataFrame([], f"a {kind}, b {kind}, similarity double"), classes
     centre, _ = _unit(sample)
