@@ -706,3 +706,27 @@ SELECT corpus_id, count(*) AS documents, CAST(sum(n_bytes) AS BIGINT) AS bytes,
 def flagship(spark, sf):
     """Long enough, exact duplicates out, benchmark 13-grams out; counts by corpus."""
     return _decon(spark, sf, q.where(fl.CHARACTERS >= 100), q.Dedupe()).origins()
+
+
+def _filtered(spark, sf, *tests) -> DataFrame:
+    kept = q.Query(docs(spark, sf), tuple(map(q.where, tests))).rows()
+    out = pf.numeric(kept, ["n_bytes", "n_chars", "quality", "toxic"])
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "deviation")})
+
+
+_PROFILED = " UNION ALL ".join(_NUM.format(c=c) for c in ("n_bytes", "n_chars", "quality", "toxic"))
+
+
+@query(f"WITH {D.replace('d AS (', 'd0 AS (', 1)}, d AS (SELECT * FROM d0 WHERE n_chars >= 500 AND n_chars < 520) {_PROFILED}")
+def profile_filtered_narrow(spark, sf):
+    return _filtered(spark, sf, fl.CHARACTERS >= 500, fl.CHARACTERS < 520)
+
+
+@query(f"WITH {D.replace('d AS (', 'd0 AS (', 1)}, d AS (SELECT * FROM d0 WHERE n_chars >= 1500) {_PROFILED}")
+def profile_filtered_half(spark, sf):
+    return _filtered(spark, sf, fl.CHARACTERS >= 1500)
+
+
+@query(f"WITH {D.replace('d AS (', 'd0 AS (', 1)}, d AS (SELECT * FROM d0 WHERE n_chars >= 100) {_PROFILED}")
+def profile_filtered_broad(spark, sf):
+    return _filtered(spark, sf, fl.CHARACTERS >= 100)

@@ -25,14 +25,14 @@ def from_rows(spark: SparkSession, rows: Iterable[tuple[str, str]]) -> DataFrame
 
 def from_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """A document a file, however deep; the key is the path below the root."""
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+    reader = spark.read.option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     path = F.col("_metadata.file_path")
     cut = lambda c: F.regexp_replace(c, r"^file:/+", "/")
     plain = root.removeprefix("file://").rstrip("/")
     key = F.when(cut(path) == plain, F.element_at(F.split(path, "/"), -1)).otherwise(F.substring(cut(path), len(plain) + 2, 1 << 30) if "://" not in root.removeprefix("file://") else F.replace(path, F.lit(root.rstrip("/") + "/"), F.lit("")))
-    return reader.text(root).select(F.url_decode(F.replace(key, F.lit("+"), F.lit("%2B"))).alias("source_key"), F.col("value").alias("text"))
+    return reader.text(root, wholetext=True).select(F.url_decode(F.replace(key, F.lit("+"), F.lit("%2B"))).alias("source_key"), F.col("value").alias("text"))
 
 
 def from_jsonl(spark: SparkSession, path: str, text_column: str = "text", key_column: str | None = None, prefix: str = "", limit: int | None = None) -> DataFrame:

@@ -46,7 +46,7 @@ class Catalog:
         out.close()
 
     def _read(self, path: str) -> dict:
-        return json.loads(self.spark.read.option("wholetext", "true").text(path).first()["value"])
+        return json.loads(self.spark.read.text(path, wholetext=True).first()["value"])
 
     def corpora(self) -> list[str]:
         return self._names(f"{self.root}/corpora")
