@@ -72,7 +72,7 @@ def repetition_shares(docs: DataFrame) -> DataFrame:
     flat = docs.select("doc_id", F.greatest(*ratios).alias("worst"), n.alias("chars"))
     each = None
     for k in (*TOP, *REPEATED):
-        grams = docs.select("doc_id", F.lit(k).alias("n"), F.posexplode(T.word_grams(text, k, lambda g: F.struct(T.gram_hash(g).alias("h"), F.length(F.array_join(g, " ")).alias("size")))).alias("at", "g"))
+        grams = docs.select("doc_id", F.lit(k).alias("n"), F.posexplode(T.word_grams(text, k, lambda g: F.struct(T.gram_hash(g).alias("h"), F.length(F.array_join(g, " ")).alias("size")), hashed=False)).alias("at", "g"))
         each = grams if each is None else each.unionByName(grams)
     by = each.groupBy("doc_id", "n", "g.h").agg(F.count("*").alias("times"), F.first("g.size").alias("size"))
     top = by.groupBy("doc_id", "n").agg(F.max(F.when(F.col("times") > 1, F.struct("times", F.col("size").alias("size")))).alias("top"), F.sum((F.col("times") - 1) * F.col("size")).alias("again"))

@@ -32,14 +32,19 @@ def let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def word_grams(text: Column, n: int, make) -> Column:
-    """make(array of n words) for each place; no elements where there are fewer words."""
+def word_grams(text: Column, n: int, make, hashed: bool = True) -> Column:
+    """make(array of n words, or of their 64-bit hashes) for each place; no elements where there are fewer words.
+
+    Words are hashed once, so that an n-gram costs n longs and not n strings.
+    """
     places = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: make(F.slice(w, i, n)))
-    return F.coalesce(let(words(text), lambda w: F.when(F.size(w) >= n, places(w))), F.array_remove(F.array(make(F.array(F.lit("")))), make(F.array(F.lit("")))))
+    cut = F.transform(words(text), lambda w: F.xxhash64(w)) if hashed else words(text)
+    one = make(F.array(F.lit(0).cast("long") if hashed else F.lit("")))
+    return F.coalesce(let(cut, lambda w: F.when(F.size(w) >= n, places(w))), F.array_remove(F.array(one), one))
 
 
 def gram_hash(gram: Column) -> Column:
-    return F.xxhash64(F.array_join(gram, " "))
+    return F.xxhash64(gram)
 
 
 def gram_set(text: Column, n: int) -> Column:

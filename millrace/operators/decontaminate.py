@@ -1,7 +1,7 @@
 """Removal of what reference snapshots hold: whole documents that share a unit, or only the shared spans.
 
-The reference side becomes one row a unit with its least witness (id, start, end). It is broadcast by Spark's own check of
-its size (spark.sql.autoBroadcastJoinThreshold, kept up to date at run time) and merge-joined beyond that.
+The reference side becomes one row a unit with its least witness (id, start, end) and is stored, so its size is known before
+the join: up to SMALL units it is broadcast and no unit of the documents is shuffled; beyond that units are merge-joined.
 """
 
 from __future__ import annotations
@@ -17,10 +17,19 @@ from millrace.operators.units import MOST_N, coalesce, units
 from millrace.scratch import Scratch
 
 
+#: Units of less than 100 bytes each, so at most some 50 MB.
+SMALL = 500_000
+
+
+def _sized(known: DataFrame) -> DataFrame:
+    stored = Scratch(known.sparkSession, "reference").keep(known, "units")
+    return F.broadcast(stored) if stored.count() <= SMALL else stored.hint("merge")
+
+
 def matches(docs: DataFrame, references: DataFrame, algorithm: str = "ngram", n: int = 13) -> DataFrame:
     """doc_id, start, end, ref_id, ref_start, ref_end of every unit that a reference document has too."""
     known = units(references, algorithm, n).groupBy("unit").agg(F.min(F.struct(F.col("doc_id").alias("id"), "start", "end")).alias("w"))
-    return units(docs, algorithm, n).join(known, "unit").select("doc_id", "start", "end", F.col("w.id").alias("ref_id"), F.col("w.start").alias("ref_start"), F.col("w.end").alias("ref_end"))
+    return units(docs, algorithm, n).join(_sized(known), "unit").select("doc_id", "start", "end", F.col("w.id").alias("ref_id"), F.col("w.start").alias("ref_start"), F.col("w.end").alias("ref_end"))
 
 
 def contaminated(docs: DataFrame, references: DataFrame, algorithm: str = "ngram", n: int = 13) -> DataFrame:
@@ -28,14 +37,14 @@ def contaminated(docs: DataFrame, references: DataFrame, algorithm: str = "ngram
     if algorithm == "ngram":
         if not 1 <= n <= MOST_N:
             raise ValueError(f"n is 1 to {MOST_N}")
-        grams = lambda df: df.select("doc_id", F.explode(T.word_grams(F.col("text"), n, lambda g: F.struct(T.gram_hash(g).alias("a"), F.hash(F.array_join(g, "\t")).alias("b")))).alias("unit"))
+        grams = lambda df: df.select("doc_id", F.explode(T.word_grams(F.col("text"), n, lambda g: F.struct(T.gram_hash(g).alias("a"), F.hash(g).alias("b")))).alias("unit"))
     elif algorithm == "line":
         grams = lambda df: df.select("doc_id", F.explode(T.lines(F.col("text"))).alias("line")).select("doc_id", F.sha2("line", 256).alias("unit"))
     elif algorithm == "document":
         grams = lambda df: df.select("doc_id", T.content(F.col("text")).alias("unit"))
     else:
         raise ValueError(f"no units of kind {algorithm!r}")
-    return grams(docs).join(grams(references).select("unit").distinct(), "unit", "left_semi").select("doc_id").distinct()
+    return grams(docs).join(_sized(grams(references).select("unit").distinct()), "unit", "left_semi").select("doc_id").distinct()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

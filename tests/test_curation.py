@@ -153,7 +153,9 @@ def test_span_decontamination(spark):
     assert tuple(stats) == (1, 0, 1, 6)
 
 
-def test_gram_decontamination_and_sampling(spark):
+@pytest.mark.parametrize("small", [dc.SMALL, 0])
+def test_gram_decontamination_and_sampling(spark, monkeypatch, small):
+    monkeypatch.setattr(dc, "SMALL", small)
     p, ref = pop(spark, {"a": "one two three", "b": "clean", "c": "also clean"}), pop(spark, {"r": "xx one two yy"})
     run = q.Query(p, (), q.Decontaminate((ref,), n=2), q.Sample("documents", 2))
     assert keys(run.rows()) == ["b", "c"]
