@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.scratch import Scratch as Stored
+
 #: Arrow batches end at this many rows or bytes, so a worker never holds much more than a batch of long texts.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -27,60 +26,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own where none is set, as in local tests."""
-    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        path = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        _made.append(path)
-    return path.rstrip("/")
-
-
-_made: list[str] = []
-
-
-class Scratch:
-    """Intermediate tables as Parquet in the shared folder: they cut the lineage and outlive lost executors.
-
-    Results are lazy and read these tables, so they go when the session's program ends, or on drop()/close().
-    """
+class Scratch(Stored):
+    """Intermediate tables as Parquet in the shared folder, for a session that is prepared for Arrow."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = prepare(spark)
-        self.path = f"{shared_folder(spark)}/millrace/{name}-{uuid.uuid4().hex[:12]}"
-        _open.append(self)
-
-    def at(self, name: str) -> str:
-        return f"{self.path}/{name}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.at(name))
-        return self.spark.read.schema(df.schema).parquet(self.at(name))
-
-    def drop(self, name: str = "") -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at(name) if name else self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def close(self) -> None:
-        self.drop()
-        if self in _open:
-            _open.remove(self)
-
-
-_open: list[Scratch] = []
-
-
-@atexit.register
-def _sweep() -> None:
-    import shutil
-
-    for s in list(_open):
-        if s.spark._jsc is not None and s.spark._jsc.sc().isStopped() is False:
-            s.close()
-        elif s.path.startswith("file:"):
-            shutil.rmtree(s.path.removeprefix("file://"), ignore_errors=True)
-    for path in _made:
-        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+        super().__init__(prepare(spark), name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
