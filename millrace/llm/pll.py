@@ -2,8 +2,12 @@
 
 Words become tokens: the KNOWN most frequent of the whole corpus by name, all others by one of SPARE hash buckets. The
 network concatenates the embeddings of SIDE words to the left and SIDE to the right (past the ends: a pad), puts them
-through a hidden layer and a softmax over all tokens. A document's score is the sum of the log-probabilities of all of its
-tokens, each given its two sides.
+through a hidden layer and a softmax over all tokens. A word's probability is that of its token, given its two sides, times
+the word's share of the token: 1 for a known word, else its count over those of all words of its bucket, in the whole corpus.
+A document's score is the sum of the log-probabilities of all of its words.
+
+Words without a name of which there are most, about HELD at most, are counted in every task; the counts of the others, each
+a vanishing part of the corpus, are joined by hash. Shares are summed in units of 1 / UNIT, so their order is no matter.
 
 Training is spread over the corpus and grows with it: in each of ROUNDS rounds, every task starts from the shared weights,
 descends over one in EVERY positions of its whole documents, and the weights of all tasks are averaged in a tree (of
@@ -21,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +35,7 @@ from millrace.llm.passages import document_words
 
 KNOWN, SPARE, SIDE, EMBED, HIDDEN = 320, 64, 3, 8, 16
 ROUNDS, EVERY, BATCH, RATE, FAN, SEED = 2, 20, 256, 0.1, 64, 11
+HELD, UNIT = 1 << 16, 1 << 24
 SIZE = KNOWN + SPARE
 PAD = SIZE
 f32 = np.float32
@@ -135,12 +141,29 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _tokenized(vocabulary):
+def _tokenized(vocabulary, held, held_n, totals):
+    """Per document: its tokens, a number of its own, the sum of log shares as far as held counts tell, and the words not held."""
+    ln, ln_totals = np.log(held_n.astype(np.float64)), np.log(np.maximum(totals, 1).astype(np.float64))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
             for first, h, at, *_ in document_words(b.column(1)):
-                t = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens(h, vocabulary).astype(np.int16)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(t)), t], names=["doc_id", "tokens"])
+                t = tokens(h, vocabulary)
+                unnamed = np.flatnonzero(t >= KNOWN)
+                w, share = h[unnamed], -ln_totals[t[unnamed] - KNOWN]
+                there = np.zeros(len(w), bool)
+                if len(held):
+                    place = np.minimum(np.searchsorted(held, w), len(held) - 1)
+                    there = held[place] == w
+                    share[there] += ln[place[there]]
+                sums = np.r_[0, np.cumsum(np.round(share * UNIT).astype(np.int64))][np.searchsorted(unnamed, at)]
+                ends = np.searchsorted(unnamed[~there], at).astype(np.int32)
+                n = len(at) - 1
+                t = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(t.astype(np.int16)))
+                rest = pa.ListArray.from_arrays(pa.array(ends), pa.array(w[~there].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), t, pa.array(np.arange(row, row + n)), pa.array(np.diff(sums)), rest], names=["doc_id", "tokens", "row", "share", "rest"])
+                row += n
 
     return run
 
@@ -195,12 +218,40 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _weights_row(total / n, n)
 
 
-def train(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
-    """The tokens of rows (doc_id, text), and weights."""
-    counts = rows.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def tokenize(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The tokens of rows (doc_id, text) with what is known of their words' shares, and (word, n) of the words not held."""
+    counts = scratch.keep(rows.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
     vocabulary = np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
-    known = scratch.keep(rows.mapInArrow(_tokenized(vocabulary), "doc_id long, tokens array<short>"), "tokens")
+    # A few hundred classes of frequency: from the top, as many are held as have HELD words together.
+    often = F.floor(F.log2("n") * 8).cast("int")
+    totals, sizes = np.zeros(SPARE, np.int64), {}
+    for r in counts.groupBy(often.alias("often"), F.pmod("word", F.lit(SPARE)).cast("int").alias("spare")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+        totals[r["spare"]] += r["n"]  # SPARE divides 2 ** 64, so signed hashes fall into the same buckets
+        sizes[r["often"]] = sizes.get(r["often"], 0) + r["words"]
+    for r in top:
+        totals[r["word"] % SPARE] -= r["n"]
+    least, room = 1 << 30, HELD + KNOWN
+    for k in sorted(sizes, reverse=True):
+        if (room := room - sizes[k]) < 0:
+            break
+        least = k
+    frequent = counts.where(often >= least).toArrow()
+    held, held_n = frequent.column("word").to_numpy().view(np.uint64), frequent.column("n").to_numpy()
+    order = np.argsort(held)
+    run = _tokenized(vocabulary, held[order], held_n[order], totals)
+    known = scratch.keep(rows.mapInArrow(run, "doc_id long, tokens array<short>, row long, share long, rest array<long>"), "tokens")
+    return known, counts.where((often < least) & (F.col("n") > 1))  # of single words the logarithm is 0
+
+
+def train(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
+    """The tokens of rows (doc_id, text), and weights."""
+    known, _ = tokenize(rows, scratch)
+    return known, descend(known, scratch)
+
+
+def descend(known: DataFrame, scratch: Scratch) -> np.ndarray:
+    known = known.select("doc_id", "tokens")
     weights, tasks = first_weights(), known.rdd.getNumPartitions()
     for turn in range(ROUNDS):
         each = scratch.keep(known.mapInArrow(_descended(weights, turn), _WEIGHTS), f"round{turn}")
@@ -212,17 +263,19 @@ def train(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
                 break
         if got := each.first():
             weights = np.array(got["weights"], f32)
-    return known, weights
+    return weights
 
 
-def _scored(weights):
+def _scored(weights, more: tuple[str, ...] = ()):
+    """Scores of the tokens alone; the columns named in more follow."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, t, at in _slices(b):
                 p = np.r_[0.0, np.cumsum(log_probabilities(weights, contexts(t, at), t), dtype=np.float64)]
                 n, total = np.diff(at), np.round(p[at[1:]] - p[at[:-1]], 4)
                 mean = pa.array(np.round(total / np.maximum(n, 1), 6), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(n)), pa.array(n), pa.array(total), mean], names=["doc_id", "n_tokens", "pll", "mean_pll"])
+                also = [b.column(name).slice(first, len(n)) for name in more]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(n)), pa.array(n), pa.array(total), mean, *also], names=["doc_id", "n_tokens", "pll", "mean_pll", *more])
 
     return run
 
@@ -231,8 +284,15 @@ def pseudo_likelihood(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     """doc_id, n_tokens, pll, mean_pll for every row of docs, by a network trained on them."""
     spark = prepare(docs.sparkSession)
     rows = pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), "text")
-    known, weights = train(rows, Scratch(spark, "pll"))
-    return known.mapInArrow(_scored(weights), "doc_id long, n_tokens long, pll double, mean_pll double")
+    scratch = Scratch(spark, "pll")
+    known, counts = tokenize(rows, scratch)
+    weights = descend(known, scratch)
+    scored = known.drop("rest").mapInArrow(_scored(weights, ("row", "share")), "doc_id long, n_tokens long, pll double, mean_pll double, row long, share long")
+    rest = known.select("row", F.explode("rest").alias("word")).join(counts.hint("merge"), "word")
+    rest = rest.groupBy("row").agg(F.sum(F.round(F.log("n") * UNIT).cast("long")).alias("rest"))
+    pll = F.round(F.col("pll") + (F.col("share") + F.coalesce("rest", F.lit(0))) / UNIT, 4)
+    n = F.col("n_tokens")
+    return scored.join(rest.hint("merge"), "row", "left").select("doc_id", "n_tokens", pll.alias("pll"), F.when(n > 0, F.round(pll / n, 6)).alias("mean_pll"))
 
 
 def op3_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,3 +56,35 @@ def test_edges(spark, edges, nothing):
         assert (by[doc]["n_tokens"], by[doc]["pll"], by[doc]["mean_pll"]) == (0, 0.0, None)
     assert by[1]["pll"] == by[2]["pll"] < 0 and by[8]["n_tokens"] == 180_000
     assert pll.pseudo_likelihood(nothing).count() == 0
+
+
+@pytest.mark.parametrize("held", [0, 40, 1 << 16])
+def test_words_of_a_bucket_have_their_own_probabilities(spark, monkeypatch, held):
+    import math
+    from collections import Counter
+
+    from millrace.llm.common import Scratch, pick
+    from millrace.llm.passages import text_hashes
+
+    from .conftest import documents
+
+    monkeypatch.setattr(pll, "HELD", held)
+    bucket = lambda w: int(text_hashes([w])[0][0] % np.uint64(pll.SPARE))
+    real, gibberish = "quay", next(w for k in range(10_000) if bucket(w := f"zq{k}x") == bucket("quay"))
+    texts = [" ".join(f"w{k}" for k in range(400))] * 5 + [f"w1 w2 {x} w3 w4" for x in (real, real, real, gibberish)] + [" ".join(f"r{k}" for k in range(300)), None]
+    docs = documents(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])
+    got = {r["doc_id"]: r for r in pll.pseudo_likelihood(docs).collect()}
+    assert got[5]["pll"] == got[6]["pll"] and got[5]["pll"] - got[8]["pll"] == pytest.approx(math.log(3), abs=5e-4)
+
+    known, weights = pll.train(pick(docs, doc_id="doc_id", text="text"), Scratch(spark, "test"))
+    by_token = {r["doc_id"]: r["pll"] for r in known.mapInArrow(pll._scored(weights), "doc_id long, n_tokens long, pll double, mean_pll double").collect()}
+    count = Counter(w for t in texts for w in (t or "").split())
+    named = {w for w, _ in sorted(count.items(), key=lambda x: (-x[1], int(text_hashes([x[0]])[0].view(np.int64)[0])))[: pll.KNOWN]}
+    total = Counter()
+    for w, n in count.items():
+        if w not in named:
+            total[bucket(w)] += n
+    for k, t in enumerate(texts):
+        want = by_token[k] + sum(math.log(count[w] / total[bucket(w)]) for w in (t or "").split() if w not in named)
+        assert got[k]["pll"] == pytest.approx(want, abs=1e-3)
+        assert got[k]["mean_pll"] == (pytest.approx(got[k]["pll"] / len(t.split()), abs=1e-5) if t else None)
