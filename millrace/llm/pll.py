@@ -9,8 +9,8 @@ A document's score is the sum of the log-probabilities of all of its words.
 Words without a name of which there are most, about HELD at most, are counted in every task; the counts of the others, each
 a vanishing part of the corpus, are joined by hash. Shares are summed in units of 1 / UNIT, so their order is no matter.
 
-Training is spread over the corpus and grows with it: in each of ROUNDS rounds, every task starts from the shared weights,
-descends over one in EVERY positions of its whole documents, and the weights of all tasks are averaged in a tree (of
+Training is spread over the corpus and takes all of it: in each of ROUNDS rounds, every task starts from the shared weights,
+descends over another share of the positions of its documents, so that each position is a target once, and the weights of all tasks are averaged in a tree (of
 fan-in FAN, each node of which holds one set of weights), weighted by positions. The driver holds one set of weights.
 
 Defined results: null texts and texts without words have no tokens, pll 0 and a null mean. Ties in frequency go by word
@@ -34,7 +34,7 @@ from millrace.llm.common import Scratch, pick, prepare, table
 from millrace.llm.passages import document_words
 
 KNOWN, SPARE, SIDE, EMBED, HIDDEN = 320, 64, 3, 8, 16
-ROUNDS, EVERY, BATCH, RATE, FAN, SEED = 2, 20, 256, 0.1, 64, 11
+ROUNDS, BATCH, RATE, FAN, SEED = 2, 256, 0.1, 64, 11
 HELD, UNIT = 1 << 16, 1 << 24
 SIZE = KNOWN + SPARE
 PAD = SIZE
@@ -63,50 +63,61 @@ def tokens(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == h, at, KNOWN + (h % np.uint64(SPARE)).astype(np.int64))
 
 
-def contexts(t: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 2 * SIDE tokens about each position; documents are t[at[d]:at[d + 1]]."""
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    place, out = np.arange(len(t)), np.full((len(t), 2 * SIDE), PAD, np.int64)
+def contexts(t: np.ndarray, at: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """The 2 * SIDE tokens about each position, or each of the named ones; documents are t[at[d]:at[d + 1]]."""
+    first, end = np.repeat(at[:-1], np.diff(at)), np.repeat(at[1:], np.diff(at))
+    if place is None:
+        place = np.arange(len(t))
+    else:
+        first, end = first[place], end[place]
+    out = np.full((len(place), 2 * SIDE), PAD, np.int64)
     for c, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         there = place + step
-        ok = (there >= at[doc]) & (there < at[doc + 1])
+        ok = (there >= first) & (there < end)
         out[ok, c] = t[there[ok]]
     return out
 
 
-def log_probabilities(weights: np.ndarray, context: np.ndarray, target: np.ndarray, rows: int = 2048) -> np.ndarray:
-    e, w, b, u, c = split(weights)
+_ONES, _EMBED = np.ones(SIZE, f32), np.arange(EMBED)
+
+
+def _forward(weights: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, hidden layer with a last column of ones, and outputs less their greatest."""
+    e, w, b, *_ = split(weights)
+    x = e[context].reshape(len(context), -1)
+    h = np.ones((len(context), HIDDEN + 1), f32)
+    h[:, :-1] = np.tanh(x @ w + b)
+    p = h @ weights[-(HIDDEN + 1) * SIZE :].reshape(HIDDEN + 1, SIZE)  # u and below it c
+    p -= p.max(axis=1, keepdims=True)
+    return x, h, p
+
+
+def log_probabilities(weights: np.ndarray, context: np.ndarray, target: np.ndarray, rows: int = 512) -> np.ndarray:
     out = np.empty(len(target), f32)
     for lo in range(0, len(target), rows):
-        h = np.tanh(e[context[lo : lo + rows]].reshape(-1, 2 * SIDE * EMBED) @ w + b)
-        s = h @ u
-        s += c
         y = target[lo : lo + rows]
-        own = s[np.arange(len(y)), y]
-        top = s.max(axis=1)
-        s -= top[:, None]
-        np.exp(s, out=s)
-        out[lo : lo + rows] = own - top - np.log(s.sum(axis=1))
+        *_, p = _forward(weights, context[lo : lo + rows])
+        own = p[np.arange(len(y)), y]
+        np.exp(p, out=p)
+        out[lo : lo + rows] = own - np.log(p @ _ONES)
     return out
 
 
 def gradients(weights: np.ndarray, context: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
     """Mean negative log-probability and its gradient."""
-    e, w, b, u, c = split(weights)
-    x = e[context].reshape(len(target), -1)
-    h = np.tanh(x @ w + b)
-    s = h @ u + c
-    s -= s.max(axis=1, keepdims=True)
-    p = np.exp(s)
-    p /= p.sum(axis=1, keepdims=True)
-    rows = np.arange(len(target))
-    loss = -float(np.log(p[rows, target] + 1e-12).mean())
-    p[rows, target] -= 1
-    p /= f32(len(target))
-    dz = (p @ u.T) * (1 - h * h)
-    de = np.zeros_like(e)
-    np.add.at(de, context.reshape(-1), (dz @ w.T).reshape(-1, EMBED))
-    return loss, np.concatenate([g.reshape(-1) for g in (de, x.T @ dz, dz.sum(axis=0), h.T @ p, p.sum(axis=0))])
+    e, w, _, u, _ = split(weights)
+    x, h, p = _forward(weights, context)
+    n, rows = f32(len(target)), np.arange(len(target))
+    own = p[rows, target]
+    np.exp(p, out=p)
+    total = p @ _ONES
+    loss = float((np.log(total) - own).mean())
+    p *= (1 / (total * n))[:, None]
+    p[rows, target] -= 1 / n
+    dz = (p @ u.T) * (1 - h[:, :-1] * h[:, :-1])
+    at = (context.reshape(-1, 1) * EMBED + _EMBED).reshape(-1)
+    de = np.bincount(at, (dz @ w.T).reshape(-1), e.size).astype(f32)
+    return loss, np.concatenate([g.reshape(-1) for g in (de, x.T @ dz, dz.sum(axis=0), h.T @ p)])
 
 
 class Descent:
@@ -173,7 +184,7 @@ def _slices(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     column = b.column(1)
     off = column.offsets.to_numpy().astype(np.int64)
     t = column.values.to_numpy()
-    for lo, hi in wd.slices(off, 1 << 17):
+    for lo, hi in wd.slices(off, 1 << 15):
         yield lo, t[off[lo] : off[hi]].astype(np.int64), off[lo : hi + 1] - off[lo]
 
 
@@ -182,11 +193,11 @@ def _descended(weights, turn: int):
         model, seen, left = Descent(weights), 0, None
         for b in batches:
             for _, t, at in _slices(b):
-                chosen = np.flatnonzero(wd.mix((np.arange(len(t)) * (turn + 1) * SIZE + t).astype(np.uint64)) % np.uint64(EVERY) == 0)
-                x, y = contexts(t, at)[chosen], t[chosen]
+                chosen = np.arange(turn, len(t), ROUNDS)
+                x, y = contexts(t, at, chosen), t[chosen]
                 if left is not None:
                     x, y = np.concatenate([left[0], x]), np.concatenate([left[1], y])
-                order = np.argsort(wd.mix(np.arange(len(y), dtype=np.uint64)), kind="stable")
+                order = np.argsort(wd.mix(np.arange(len(y), dtype=np.uint64)))
                 whole = len(y) // BATCH * BATCH
                 for lo in range(0, whole, BATCH):
                     model.step(x[order[lo : lo + BATCH]], y[order[lo : lo + BATCH]])

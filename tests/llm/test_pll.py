@@ -88,3 +88,24 @@ def test_words_of_a_bucket_have_their_own_probabilities(spark, monkeypatch, held
         want = by_token[k] + sum(math.log(count[w] / total[bucket(w)]) for w in (t or "").split() if w not in named)
         assert got[k]["pll"] == pytest.approx(want, abs=1e-3)
         assert got[k]["mean_pll"] == (pytest.approx(got[k]["pll"] / len(t.split()), abs=1e-5) if t else None)
+
+
+def test_every_position_is_a_target_once(monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    found = Counter()
+
+    class Noted(pll.Descent):
+        def step(self, context, target):
+            found.update((*x, y) for x, y in zip(context.tolist(), target.tolist(), strict=True))
+            return super().step(context, target)
+
+    monkeypatch.setattr(pll, "Descent", Noted)
+    docs = [np.random.default_rng(k).integers(0, pll.SIZE, n).astype(np.int16) for k, n in enumerate((700, 0, 1, 3000, 41))]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs, pa.list_(pa.int16()))], names=["doc_id", "tokens"])
+    seen = sum(out.column(1)[0].as_py() for turn in range(pll.ROUNDS) for out in pll._descended(pll.first_weights(), turn)(iter([rows, rows])))
+    t, at = np.concatenate(docs).astype(np.int64), np.r_[0, np.cumsum([len(d) for d in docs])]
+    once = Counter((*x, y) for x, y in zip(pll.contexts(t, at).tolist(), t.tolist(), strict=True))
+    assert seen == 2 * len(t) and found == once + once
