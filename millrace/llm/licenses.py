@@ -2,7 +2,7 @@
 
 A template is a sequence of words. Of every WINDOW consecutive GRAM-word hashes the least is a fingerprint (the rightmost
 of equals), so any run of WINDOW + GRAM - 1 words that a text shares with a template holds one. Fingerprints lie in an
-inverted index; each word of each document is looked up in it, and hits on near diagonals are aligned with the template
+inverted index, with all grams and pairs of words of templates shorter than two windows; each word of each document is looked up in it, and hits on near diagonals are aligned with the template
 within a band about them. A match is reported when the equal words are at least `least` of the template's, with the span of
 the text in code points. Of overlapping matches the one with more equal words, then greater coverage, then the first name
 stays. The index has the templates only, so its size is fixed by them.
@@ -68,11 +68,31 @@ def fingerprints(templates: dict[str, str]) -> Passages:
         for segment, part in known.add((name, len(h)), h):
             n = min(GRAM, len(part))
             grams = wd.shingles(part, n)[: len(part) - n + 1]
-            for place in winnow(grams):
+            short = len(part) < 2 * WINDOW
+            for place in range(len(grams)) if short else winnow(grams):
                 known.seed(n, int(grams[place]), segment, place)
+            if short and len(part) > 2:  # an edit amid few words leaves no longer gram
+                for place, pair in enumerate(wd.shingles(part, 2)[: len(part) - 1].tolist()):
+                    known.seed(2, pair, segment, place)
     return known.freeze()
 
 
+def _copies(a: np.ndarray, words: np.ndarray, least: float) -> Iterator[tuple[int, int, int]]:
+    """Start, end and equal words of the copies of a in words, in windows that hold two, so that time is linear in words."""
+    margin, need = 4 + len(a) // 8, max(1, least * len(a))
+    at, width = 0, 2 * (len(a) + margin)
+    while len(words) - at >= need:
+        part = words[at : at + width]
+        _, equal, _, _, x, y = align(a, part)
+        if equal >= need:
+            if x >= need:
+                yield from ((at + i, at + j, k) for i, j, k in _copies(a, part[:x], least))
+            yield at + x, at + y, equal
+            at += y
+        else:
+            at += len(a) + margin
+
+
 def _scan(known: Passages, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,6 +107,8 @@ def _scan(known: Passages, least: float):
                     _, equal, _, _, x, y = align(a, words[lo:hi], (low + high) // 2 - lo, band)
                     if y > x:
                         found.setdefault(d, {}).setdefault(known.owners[segment], []).append((lo + x, lo + y, equal))
+                        for base, rest in ((lo, words[lo : lo + x]), (lo + y, words[lo + y : hi])):  # further copies in the cluster
+                            found[d][known.owners[segment]] += [(base + i, base + j, k) for i, j, k in _copies(a, rest, least)]
                 for d, by in found.items():
                     matches = []
                     for (name, size), spans in by.items():

@@ -63,3 +63,12 @@ def test_query_equals_full_alignment(spark, tiny):
     got = {(r["doc_id"], r["template"]) for r in lc.op6_license_scan(spark, tiny).collect()}
     assert got <= want and {d for d, _ in got} == {d for d, _ in want} and got
     assert wd.GOLD
+
+
+def test_short_notices_back_to_back_and_edited(spark):
+    templates = {"MIT/line": "Released under the MIT License", "Other/line": "a notice of quite other words altogether"}
+    words = templates["MIT/line"].split()
+    rows = [(k, " ".join([*words[:k], "edited", *words[k + 1 :]]), "en", "s") for k in range(5)]
+    rows += [(5, "Released under the MIT License. " * 4, "en", "s"), (6, "Released under the MIT License. " * 300, "en", "s"), (7, "under the tree", "en", "s")]
+    got = [r["doc_id"] for r in lc.license_scan(documents(spark, rows), templates).collect()]
+    assert [got.count(k) for k in range(8)] == [1, 1, 1, 1, 1, 4, 300, 0]
