@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.scratch import Scratch as Stored
 
 #: Arrow batches end at this many rows or bytes, so a worker never holds much more than a batch of long texts.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -50,9 +50,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Up to so many numbers are broadcast: a few tens of MB.
+BROADCAST_IDS = 1 << 20
+
+
 def by_ids(docs: DataFrame, ids: DataFrame, doc_id: str, how: str) -> DataFrame:
-    """docs joined (left_anti or left_semi) with the one column of ids; null ids meet null ids."""
+    """docs joined (left_anti or left_semi) with the one column of ids, a stored table; null ids meet null ids.
+
+    Up to BROADCAST_IDS ids are broadcast. Of more, a filter of bounded size tells in the scan which rows may meet one, and only those are shuffled.
+    """
     name = fresh(docs, "_id")
-    ids = ids.toDF(name).hint("merge")
-    mine = docs[f"`{doc_id}`"].cast("long")
-    return docs.join(ids, (F.coalesce(mine, F.lit(0)) == F.coalesce(F.col(name), F.lit(0))) & (mine.isNull() == F.col(name).isNull()), how)
+    ids, mine = ids.toDF(name), docs[f"`{doc_id}`"].cast("long")
+    meets = (F.coalesce(mine, F.lit(0)) == F.coalesce(F.col(name), F.lit(0))) & (mine.isNull() == F.col(name).isNull())
+    if ids.count() <= BROADCAST_IDS:
+        return docs.join(F.broadcast(ids), meets, how)
+    from millrace.llm.filters import passes
+
+    may = passes(ids.select(F.col(name).cast("long")))(mine)
+    joined = docs.where(may).join(ids.hint("merge"), meets, how)
+    return joined if how == "left_semi" else docs.where(~may).unionByName(joined)

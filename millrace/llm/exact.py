@@ -1,9 +1,10 @@
 """Exact dedup through a log-structured merge index of text digests.
 
 Each task feeds the digests of its rows to a small index: a memtable flushes to sorted runs that carry Bloom filters,
-and compaction merges runs, keeping the smallest identifier of each digest and the number of rows. So a task sends on one
-entry per digest, however many copies it read. The runs meet by digest, are compacted once more, and every row that
-hits a group is then compared with the bytes of the text that stays.
+and compaction merges runs block by block, keeping the smallest identifier of each digest and the number of rows. So a task
+sends on one entry per digest, however many copies it read, and holds a block a run however many digests it meets. The runs meet
+by digest and are compacted once more; digests of several rows are groups. A filter over the digests of groups is asked in the scan of
+the texts, and only the texts that pass it are shuffled: every row that hits a group is compared with the bytes of the text that stays.
 
 Defined results: null texts count as empty, and empty or white texts form one group. Row order is (most code points,
 smallest doc_id, null ids last). A row that repeats another, id included, counts in group_size and reports the same
@@ -13,57 +14,54 @@ decision. An empty table gives an empty result. Further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, by_ids, pick, table
+from millrace.llm.common import Scratch, fresh, pick, table
+from millrace.llm.filters import Bloom, passes
 
 WHITE = " \t\n\x0b\x0c\r"
 NO_ID = (1 << 63) - 1  # where an id is null
 
 
-class Bloom:
-    """Double hashing over the digest's own bytes, about 1 % false hits."""
-
-    def __init__(self, keys: np.ndarray):
-        self.size = max(64, 10 * len(keys))
-        self.bits = np.zeros(self.size // 8 + 1, np.uint8)
-        for at in self._places(keys):
-            np.bitwise_or.at(self.bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-
-    def _places(self, keys: np.ndarray) -> Iterator[np.ndarray]:
-        words = np.frombuffer(keys.tobytes(), np.uint8).reshape(len(keys), keys.itemsize)[:, :16].copy().view("<u8")
-        for k in range(7):
-            yield ((words[:, 0] + np.uint64(k) * (words[:, 1] | np.uint64(1))) % np.uint64(self.size)).astype(np.int64)
-
-    def may_hold(self, keys: np.ndarray) -> np.ndarray:
-        found = np.ones(len(keys), bool)
-        for at in self._places(keys):
-            found &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return found
-
-
 class Run:
-    """Sorted keys with their smallest identifier (rank, id) and count; the arrays lie in a file that is mapped."""
+    """Sorted keys with their smallest identifier (rank, id) and count, and a filter over the keys. In a folder the arrays lie in mapped files."""
 
-    def __init__(self, keys, rank, ids, count, folder: str | None):
-        self.filter = Bloom(keys)
-        self.arrays = [keys, rank, ids, count]
+    def __init__(self, blocks: Iterable[list[np.ndarray]], most: int, folder: str | None):
+        """blocks: consecutive parts of keys, rank, ids, count; at most `most` keys together."""
+        self.filter, files = Bloom.sized(most), []
         if folder:
-            for i, x in enumerate(self.arrays):
-                with tempfile.NamedTemporaryFile(dir=folder, delete=False) as f:
-                    np.save(f, x)
-                self.arrays[i] = np.load(f.name, mmap_mode="r") if len(x) else x
+            files = [tempfile.NamedTemporaryFile(dir=folder, delete=False) for _ in range(4)]
+        parts: list[list[np.ndarray]] = [[] for _ in range(4)]
+        for block in blocks:
+            self.filter.add(*_halves(block[0]))
+            for i, x in enumerate(block):
+                if files:
+                    files[i].write(x.tobytes())
+                else:
+                    parts[i].append(x)
+        kinds = ["S33", np.int64, np.int64, np.int64]
+        self.arrays = [np.concatenate([np.zeros(0, k), *x]) for k, x in zip(kinds, parts, strict=True)]
+        for i, f in enumerate(files):
+            f.close()
+            if os.path.getsize(f.name):
+                self.arrays[i] = np.memmap(f.name, kinds[i], "r")
 
     def __len__(self):
         return len(self.arrays[0])
 
 
+def _halves(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = np.ascontiguousarray(np.frombuffer(keys.tobytes(), np.uint8).reshape(len(keys), keys.itemsize)[:, :16]).view("<u8")
+    return both[:, 0], both[:, 1]
+
+
 class MergeIndex:
     """digest -> (smallest identifier, rows). fanout runs of a level are compacted into one of the next."""
 
@@ -85,7 +83,7 @@ class MergeIndex:
             keys = np.array([k + b"\x01" for k in self.fresh], "S33")  # the mark saves trailing zero bytes
             values = np.array(list(self.fresh.values()), np.int64).reshape(-1, 3)
             self.fresh, order = {}, np.argsort(keys)
-            self.levels[0].append(Run(keys[order], *values[order].T, self.folder))
+            self.levels[0].append(Run([[keys[order], *values[order].T]], len(keys), self.folder))
             for level, runs in enumerate(self.levels):
                 if len(runs) >= self.fanout:
                     if level + 1 == len(self.levels):
@@ -94,11 +92,20 @@ class MergeIndex:
                     self.levels[level] = []
 
     def _merged(self, runs: list[Run]) -> Run:
-        keys, rank, ids, count = (np.concatenate([r.arrays[i] for r in runs]) for i in range(4))
-        order = np.lexsort((ids, rank, keys))
-        keys, rank, ids, count = keys[order], rank[order], ids[order], count[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        return Run(keys[first], rank[first], ids[first], np.add.reduceat(count, first) if len(first) else count, self.folder)
+        return Run(self._blocks(runs), sum(map(len, runs)), self.folder)
+
+    def _blocks(self, runs: list[Run]) -> Iterator[list[np.ndarray]]:
+        """The runs merged, about memtable entries of each at a time: all keys up to the least of the runs' next limits."""
+        at = [0] * len(runs)
+        while any(p < len(r) for p, r in zip(at, runs, strict=True)):
+            limit = min(r.arrays[0][min(p + self.memtable, len(r)) - 1] for p, r in zip(at, runs, strict=True) if p < len(r))
+            to = [int(np.searchsorted(r.arrays[0], limit, "right")) for r in runs]
+            keys, rank, ids, count = (np.concatenate([r.arrays[i][p:q] for p, q, r in zip(at, to, runs, strict=True)]) for i in range(4))
+            at = to
+            order = np.lexsort((ids, rank, keys))
+            keys, rank, ids, count = keys[order], rank[order], ids[order], count[order]
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            yield [keys[first], rank[first], ids[first], np.add.reduceat(count, first)]
 
     def compact(self) -> Run | None:
         self.flush()
@@ -111,7 +118,7 @@ class MergeIndex:
         found = [self.fresh[digest]] if digest in self.fresh else []
         key = np.array([digest + b"\x01"], "S33")
         for run in (r for level in self.levels for r in level):
-            if run.filter.may_hold(key)[0] and (at := int(np.searchsorted(run.arrays[0], key[0]))) < len(run) and run.arrays[0][at] == key[0]:
+            if run.filter.may_hold(*_halves(key))[0] and (at := int(np.searchsorted(run.arrays[0], key[0]))) < len(run) and run.arrays[0][at] == key[0]:
                 found.append(tuple(int(x[at]) for x in run.arrays[1:]))
         return (*min(f[:2] for f in found), sum(f[2] for f in found)) if found else None
 
@@ -150,7 +157,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     groups = scratch.keep(merge_index(rows.select("digest", "rank", ident, F.lit(1).cast("long").alias("count"))).where("count > 1"), "groups")
 
     # Hits: the rows whose digest more rows have. Their bytes are held against the text that stays.
-    hits = scratch.keep(whole.select("doc_id", plain.alias("plain"), F.unhex(F.sha2(plain, 256)).alias("digest")).join(groups.select("digest", "ident").hint("merge"), "digest"), "hits")
+    may = passes(groups.select("digest"))
+    texts = whole.select("doc_id", plain.alias("plain"), F.unhex(F.sha2(plain, 256)).alias("digest")).where(may(F.col("digest")))
+    hits = scratch.keep(texts.join(groups.select("digest", "ident").hint("merge"), "digest"), "hits")
     stays = scratch.keep(hits.where(F.coalesce("doc_id", F.lit(NO_ID)) == F.col("ident")).groupBy("digest").agg(F.min("plain").alias("first")), "stays")
     other = hits.join(stays, "digest").where(F.col("plain") != F.col("first")).select("doc_id", "digest", "plain")
     other = scratch.keep(other, "other")
@@ -177,14 +186,25 @@ def _decided(found: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without the rows that exact_dedup drops; of wholly repeated rows with the id that stays, one stays."""
-    found = exact_dedup(docs, text, doc_id)
-    kept = by_ids(docs, found.where("not kept and doc_id is not null").select("doc_id").distinct(), doc_id, "left_anti")
-    twice = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    one = by_ids(kept, twice, doc_id, "left_semi").dropDuplicates([doc_id])
-    return by_ids(kept, twice, doc_id, "left_anti").unionByName(one)
+    """docs without the rows that exact_dedup drops; of the rows of an equal text with the id that stays, one stays. Rows without an id stay.
+
+    Decisions go by (id, digest), so another text of the same id isn't touched. Rows that a filter over the digests of groups rejects
+    are kept where they are; only the others are shuffled.
+    """
+    scratch = Scratch(docs.sparkSession, "exact-kept")
+    found = scratch.keep(exact_dedup(docs, text, doc_id).where("group_size > 1").select("doc_id", "kept", F.unhex("text_sha256").alias("digest")), "found")
+    if found.isEmpty():
+        return docs
+    stay = scratch.keep(found.where("kept").select("digest", "doc_id").distinct(), "stay")
+    here, there, ident = fresh(docs, "_digest"), fresh(docs, "_group"), fresh(docs, "_ident")
+    digest = F.unhex(F.sha2(F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), WHITE, ""), 256))
+    may = passes(stay.select("digest"))(digest) & F.col(f"`{doc_id}`").isNotNull()
+    # Of the rows of groups, those with the id that stays, once each; and those that passed the filter in vain.
+    groups = stay.toDF(there, ident)
+    joined = docs.where(may).withColumn(here, digest).join(groups.hint("merge"), F.col(here) == F.col(there), "left")
+    vain = joined.where(F.col(there).isNull()).select(*docs.columns)
+    own = joined.where(F.col(there).isNotNull() & (F.col(f"`{doc_id}`").cast("long") == F.col(ident))).dropDuplicates([there, ident])
+    return docs.where(~may).unionByName(vain).unionByName(own.select(*docs.columns))
 
 
 def digest_of(text: str | None) -> bytes:

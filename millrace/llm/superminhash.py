@@ -13,7 +13,13 @@ some members outside the bucket's largest component (OUTSIDERS, then MORE times
 A bucket is left when all of its outsiders have met all others or joined, so no link between components is lost. Before the
 full sets are compared, two bits of each place must agree as often as for similarity 0.8 less six standard deviations, and
 the parities of the elements by PARITY parts of the hash may differ in no more bits than the sets may in elements (each
-element in one set alone flips one bit, so this loses nothing).
+element in one set alone flips one bit, so this loses nothing). In the first round these bits are joined once a pair; in later
+ones they stand in the rows of the few buckets that go on, so that pairs are tested where they meet. A bucket of unlinked
+components costs as many such tests as it has pairs, in parts of PART members, but only pairs that pass are sent on. Members of a
+bucket and partners of a hub are dealt into parts, with a copy of the hub each, so no task takes a whole group.
+
+Texts of any length are handled in pieces; only the shingles of one text need to fit in memory, 8 bytes each. Edges up to ALONE
+are joined by one task (at most 16 MB of numbers), which gives the same components as the parallel way.
 
 Defined results: no shingles (null, empty or white text) means no links; a null doc_id is linked with nothing and kept.
 Repeated rows are copies of each other and report alike. A doc_id that stands for several texts is one node with the
@@ -28,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,39 +44,50 @@ from millrace.llm.common import Scratch, by_ids, pick, table
 PLACES, BANDS = 128, 32
 ROWS = PLACES // BANDS
 PARITY = 1024
+#: Elements whose permutations are held at once.
+BLOCK = 1 << 14
 #: Outsiders of a bucket that meet all others in the second round; each later round takes MORE times as many.
 OUTSIDERS, MORE = 256, 16
+#: Members of a bucket, or partners of a hub, that one part of a join takes.
+PART = 1 << 12
 #: Up to so many edges one task joins alone; more are contracted in parallel first.
 ALONE = 1 << 20
 
 
-def signatures(elements: np.ndarray, off: np.ndarray, m: int = PLACES) -> np.ndarray:
-    """SuperMinHash of each set elements[off[i]:off[i+1]] as uint32: step << 24 | fraction; an empty set is all ones."""
-    docs = len(off) - 1
-    sig = np.full((docs, m), 0xFFFFFFFF, np.uint32)
-    flat = sig.reshape(-1)
-    salts = np.arange(1, m + 1, dtype=np.uint64) * wd.GOLD
-    doc, h, perm = np.repeat(np.arange(docs), np.diff(off)), elements, None
+def signatures(elements: np.ndarray, off: np.ndarray, m: int = PLACES, block: int = BLOCK) -> np.ndarray:
+    """SuperMinHash of each set elements[off[i]:off[i+1]] as uint32: step << 24 | fraction; an empty set is all ones.
+
+    Elements go in blocks: a set's signature is the least of its parts' by place, so a later part begins from what earlier ones left.
+    """
+    sig = np.full((len(off) - 1, m), 0xFFFFFFFF, np.uint32)
+    for lo in range(0, len(elements), block):
+        hi = min(lo + block, len(elements))
+        first, last = np.searchsorted(off, [lo, hi - 1], "right") - 1
+        doc = np.repeat(np.arange(last - first + 1), np.diff(np.clip(off[first : last + 2], lo, hi)))
+        _lower(sig[first : last + 1], doc, elements[lo:hi])
+    return sig
+
+
+def _lower(sig: np.ndarray, doc: np.ndarray, h: np.ndarray) -> None:
+    """Lower rows of sig by the elements h of the rows named in doc."""
+    m = sig.shape[1]
+    flat, perm, salts = sig.reshape(-1), None, np.arange(1, m + 1, dtype=np.uint64) * wd.GOLD
     for j in range(m):
+        open_ = (sig.max(axis=1) >= j << 24)[doc]  # no later step lowers a set whose places are all of earlier steps
+        doc, h = doc[open_], h[open_]
         if not len(h):
-            break
+            return
+        rows = np.arange(len(h))
         x = wd.mix(h + salts[j])
-        k = (j + (((x >> np.uint64(32)) * np.uint64(m - j)) >> np.uint64(32)).astype(np.int64)).astype(np.int64)
+        k = j + (((x >> np.uint64(32)) * np.uint64(m - j)) >> np.uint64(32)).astype(np.int64)
         if perm is None:
-            place = k
+            place, perm = k, np.tile(np.arange(m, dtype=np.uint8), (len(h), 1))
+            perm[rows, k] = 0
         else:
-            rows = np.arange(len(h))
+            perm = perm[open_]
             place = perm[rows, k].astype(np.int64)
             perm[rows, k] = perm[:, j]
         np.minimum.at(flat, doc * m + place, ((j << 24) | (x & np.uint64(0xFFFFFF)).astype(np.int64)).astype(np.uint32))
-        open_ = (sig.max(axis=1) >= (j + 1) << 24)[doc]
-        doc, h, k = doc[open_], h[open_], k[open_]
-        if perm is None:
-            perm = np.tile(np.arange(m, dtype=np.uint8), (len(h), 1))
-            perm[np.arange(len(h)), k] = 0
-        else:
-            perm = perm[open_]
-    return sig
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -200,12 +217,27 @@ def _stars(e: DataFrame) -> bool:
     return twice.union(chained).isEmpty()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs a < b those whose full sets are similar enough."""
-    of = lambda x: sets.select(F.col("rep").alias(x), F.col("els").alias(f"els_{x}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    inter = F.size(F.array_intersect("els_a", "els_b"))
-    return both.select("a", "b", inter.alias("i"), (F.size("els_a") + F.size("els_b") - inter).alias("u")).where(F.expr(f"100 * i >= {percent} * u")).select("a", "b").distinct()
+def _copies(weight) -> Column:
+    """Into how many parts the partners of a hub, or the members of a bucket, are dealt."""
+    return (F.floor(weight / PART) + 1).cast("int")
+
+
+def _dealt(df: DataFrame, weight: str) -> DataFrame:
+    """df with a part for each row by rep; each(df, weight) is its counterpart."""
+    return df.withColumn("part", F.pmod(F.xxhash64("rep"), _copies(F.col(weight))).cast("int"))
+
+
+def _each(df: DataFrame, weight: str) -> DataFrame:
+    return df.withColumn("part", F.explode(F.sequence(F.lit(0), _copies(F.col(weight)) - 1)))
+
+
+def _verified(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of met pairs (rep, hub_rep, hub_weight) those whose full sets are similar enough, as a < b; a hub's partners are dealt into parts."""
+    hubs = _each(met.select("hub_rep", "hub_weight").distinct().join(sets.select(F.col("rep").alias("hub_rep"), F.col("els").alias("hub_els")), "hub_rep"), "hub_weight")
+    both = _dealt(met, "hub_weight").join(sets, "rep").drop("hub_weight").join(hubs.drop("hub_weight"), ["hub_rep", "part"])
+    inter = F.size(F.array_intersect("els", "hub_els"))
+    near = both.select("rep", "hub_rep", inter.alias("i"), (F.size("els") + F.size("hub_els") - inter).alias("u")).where(F.expr(f"100 * i >= {percent} * u"))
+    return near.select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("b")).distinct()
 
 
 def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame, Scratch]:
@@ -217,53 +249,67 @@ def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str
     known = sketch.where("n > 0 and doc_id is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = scratch.keep(classes, "classes")
-    banded = classes.select("rep", F.explode("bands").alias("band"))
+    banded = classes.select("rep", "n", F.explode("bands").alias("band"))
     shared = scratch.keep(banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "shared")
     live = scratch.keep(banded.join(shared.hint("merge"), "band"), "banded")
-    weights = live.groupBy("rep").agg(F.sum("members").alias("weight"))
+    weights = scratch.keep(live.groupBy("rep").agg(F.sum("members").alias("weight")), "weights")
     nodes = scratch.keep(classes.select("rep", "n", "bits").join(weights.hint("merge"), "rep"), "nodes")
-    sets = rows.join(nodes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id").select("doc_id", "text")
+    reps = weights.select("rep")
+    sets = by_ids(rows, reps, "doc_id", "left_semi").select("doc_id", "text")
     sets = scratch.keep(sets.mapInArrow(_full_sets(shingle), "rep long, els array<bigint>").where("size(els) > 0"), "sets")
-    live = scratch.keep(live.select("band", "rep").join(nodes.hint("merge"), "rep").withColumn("comp", F.col("rep")), "live")
+    live = scratch.keep(live.join(weights.hint("merge"), "rep").withColumn("comp", F.col("rep")), "live")
     scratch.drop("banded")
-    fields = ("rep", "n", "bits", "comp", "weight")
-    of_hub = [F.col(c).alias(f"hub_{c}") for c in fields]
-    first = F.max_by(F.struct(*fields), F.struct("weight", -F.col("rep")))
-    hubs = live.groupBy("band").agg(first.alias("hub")).select("band", "hub.*").select("band", *of_hub)
-    met = _meeting(live, hubs, percent).groupBy("rep").agg(F.max_by("hub_rep", F.struct("hub_weight", -F.col("hub_rep"))).alias("hub_rep"))
-    comps, turn, most = None, 0, OUTSIDERS
+
+    # First round: a bucket's hub is met by its members; bits follow once a pair, not once a bucket.
+    first = F.max_by(F.struct("rep", "n", "weight"), F.struct("weight", -F.col("rep")))
+    hubs = live.groupBy("band").agg(first.alias("hub"), F.first("members").alias("members")).select("band", "members", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("rep", "n", "weight")])
+    hubs = _each(hubs, "members").drop("members")
+    pairs = _dealt(live, "members").join(hubs, ["band", "part"]).where((F.col("rep") != F.col("hub_rep")) & F.expr(_sizes(percent)))
+    pairs = pairs.select("rep", "hub_rep", "hub_weight").distinct()
+    of_hubs = _each(hubs.select("hub_rep", "hub_weight").distinct().join(nodes.select(F.col("rep").alias("hub_rep"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits")), "hub_rep"), "hub_weight")
+    pairs = _dealt(pairs, "hub_weight").join(nodes.select("rep", "n", "bits"), "rep").join(of_hubs.drop("hub_weight"), ["hub_rep", "part"]).where(F.expr(_near(percent)))
+    met = scratch.keep(pairs.groupBy("rep").agg(F.max_by(F.struct("hub_rep", "hub_weight"), F.struct("hub_weight", -F.col("hub_rep"))).alias("hub")).select("rep", "hub.*"), "met0")
+
+    comps, turn, most, stored = None, 0, OUTSIDERS, "live"
     while True:
-        pairs = met.select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("b")).distinct()
-        found = _verified(pairs, sets, percent)
+        found = _verified(met, sets, percent)
         if comps is not None:  # a component so far counts as links to its smallest node
             found = found.union(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
         comps = components(found, scratch, f"cc{turn}-")
-        live, old = scratch.keep(_relabelled(live, comps), f"live{turn}"), f"live{turn - 1}" if turn else "live"
-        scratch.drop(old)
-        turn += 1
+        live = scratch.keep(_relabelled(live, comps), f"live{turn}")
+        scratch.drop(stored)
+        stored = f"live{turn}"
         # Members outside the largest component of their bucket, as many as this round takes.
         sizes = live.groupBy("band", "comp").count().groupBy("band").agg(F.max_by("comp", F.struct("count", -F.col("comp"))).alias("main"), F.count("*").alias("comps")).where("comps > 1")
         rank = F.row_number().over(W.partitionBy("band").orderBy(F.desc("weight"), "rep"))
         outside = live.join(sizes.select("band", "main").hint("merge"), "band").where("comp <> main").withColumn("rank", rank).where(F.col("rank") <= most + 1)
-        outside = scratch.keep(outside, f"outside{turn}")
+        outside = scratch.keep(outside.drop("bits"), f"outside{turn}")
         if outside.isEmpty():
             break
-        met = _meeting(live, outside.where(F.col("rank") <= most).select("band", *of_hub), percent).select("rep", "hub_rep")
+        if not turn:  # only buckets of several components go on, and with bits
+            live = scratch.keep(live.join(outside.select("band").distinct().hint("merge"), "band", "left_semi").join(nodes.select("rep", "bits"), "rep"), "live-on")
+            scratch.drop(stored)
+            stored = "live-on"
+        bits = nodes.select(F.col("rep").alias("hub_rep"), F.col("bits").alias("hub_bits"))
+        hubs = outside.where(F.col("rank") <= most).select("band", "members", *[F.col(c).alias(f"hub_{c}") for c in ("rep", "n", "comp", "weight")]).join(bits, "hub_rep")
+        near = _dealt(live, "members").join(_each(hubs, "members").drop("members"), ["band", "part"]).where((F.col("comp") != F.col("hub_comp")) & F.expr(f"{_sizes(percent)} and {_near(percent)}"))
+        turn += 1
+        met = scratch.keep(near.select("rep", "hub_rep", "hub_weight").distinct(), f"met{turn}")
         live = live.join(outside.where(F.col("rank") > most).select("band").hint("merge"), "band", "left_semi")
         most *= MORE
     known = classes.select("digest", "rep", "size", F.col("rep").alias("comp"))
-    return sketch, known if comps is None else _relabelled(known, comps), scratch
+    return sketch, _relabelled(known, comps), scratch
 
 
-def _meeting(live: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    return live.join(hubs, "band").where((F.col("comp") != F.col("hub_comp")) & F.expr(_near(percent)))
+def _sizes(percent: int) -> str:
+    return f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
 
 
 def _near(percent: int) -> str:
-    """Whether sizes, signature bits and parities let two sets be similar enough."""
+    """Whether signature bits and parities let two sets be similar enough."""
     differ = " + ".join(f"bit_count((bits[{k}] ^ hub_bits[{k}]) | (bits[{k + 2}] ^ hub_bits[{k + 2}]))" for k in (0, 1))
     flipped = " + ".join(f"bit_count(bits[{k}] ^ hub_bits[{k}])" for k in range(4, 4 + PARITY // 64))
-    return f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n) and {PLACES} - ({differ}) >= {least_agreement(percent)} and {100 + percent} * ({flipped}) <= {100 - percent} * (n + hub_n)"
+    return f"{PLACES} - ({differ}) >= {least_agreement(percent)} and {100 + percent} * ({flipped}) <= {100 - percent} * (n + hub_n)"
 
 
 def _relabelled(df: DataFrame, comps: DataFrame) -> DataFrame:
@@ -281,7 +327,9 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str =
 
 def drop_near(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with one document of each group: the one with the smallest id."""
-    return by_ids(docs, near_dedup(docs, shingle, percent, text, doc_id).where("not kept").select("doc_id").distinct(), doc_id, "left_anti")
+    scratch = Scratch(docs.sparkSession, "near-kept")
+    dropped = scratch.keep(near_dedup(docs, shingle, percent, text, doc_id).where("not kept").select("doc_id").distinct(), "dropped")
+    return by_ids(docs, dropped, doc_id, "left_anti")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A word is a run of bytes of a class; its hash is a sum of random numbers chosen by byte, times powers by the place in the
 word, mixed at the end. Texts are handled in slices of whole documents of about SLICE bytes, so arrays stay small; one
-longer document is a slice of its own.
+longer document is a slice of its own, whose bytes are handled in pieces.
 """
 
 from __future__ import annotations
@@ -67,26 +67,47 @@ def slices(off: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
-def words(data: np.ndarray, off: np.ndarray, kind: np.ndarray = SOLID) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """hash, start, end (bytes) and document of each word."""
-    if not len(data):
-        z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), z, z, z
+def _runs(data: np.ndarray, first: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unmixed hash, start and length of each run in a piece of bytes; runs end before each place in first."""
     inside = kind[data]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
-    first = off[:-1][off[:-1] < off[1:]]
-    start[first] = inside[first]  # words end with their document
+    start[first] = inside[first]
     starts = np.flatnonzero(start)
     if not len(starts):
-        z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), z, z, z
+        return np.zeros(0, np.uint64), starts, starts
     at = np.flatnonzero(inside)
     head = np.searchsorted(at, starts)
     lengths = np.diff(np.r_[head, len(at)])
     place = np.arange(len(at)) - np.repeat(head, lengths)
-    hashes = mix(np.add.reduceat(BYTE[data[at]] * _power(int(lengths.max()))[place], head) + lengths.astype(np.uint64))
-    return hashes, starts, starts + lengths, np.searchsorted(off, starts, "right") - 1
+    return np.add.reduceat(BYTE[data[at]] * _power(int(lengths.max()))[place], head), starts, lengths
+
+
+def words(data: np.ndarray, off: np.ndarray, kind: np.ndarray = SOLID, piece: int = SLICE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hash, start, end (bytes) and document of each word; words end with their document.
+
+    Bytes are handled in pieces, so a long text takes no more room than its words do. A word that a piece cuts is put together again.
+    """
+    first = np.unique(off[:-1][off[:-1] < off[1:]])
+    sums, starts, lengths = [], [], []
+    for lo in range(0, len(data), piece):
+        hi = min(lo + piece, len(data))
+        edges = first[np.searchsorted(first, lo) : np.searchsorted(first, hi)]
+        s, at, n = _runs(data[lo:hi], edges - lo, kind)
+        at = at + lo
+        if len(at) and starts and len(starts[-1]) and at[0] == lo == starts[-1][-1] + lengths[-1][-1] and not (len(edges) and edges[0] == lo):
+            sums[-1][-1:] += s[:1] * np.uint64(pow(int(_P), int(lengths[-1][-1]), 1 << 64))
+            lengths[-1][-1] += n[0]
+            s, at, n = s[1:], at[1:], n[1:]
+        if len(at):
+            sums.append(s)
+            starts.append(at)
+            lengths.append(n)
+    if not starts:
+        z = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), z, z, z
+    start, length = np.concatenate(starts), np.concatenate(lengths)
+    return mix(np.concatenate(sums) + length.astype(np.uint64)), start, start + length, np.searchsorted(off, start, "right") - 1
 
 
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.llm import exact
+from millrace.llm import exact, filters
 
 from .conftest import EDGES, same
 
@@ -66,5 +66,38 @@ def test_merge_index_equals_a_dict(items, memtable):
 def test_bloom_has_no_false_negatives():
     keys = np.array([hashlib.sha256(str(k).encode()).digest() + b"\x01" for k in range(3000)], "S33")
     other = np.array([hashlib.sha256(b"x%d" % k).digest() + b"\x01" for k in range(3000)], "S33")
-    bloom = exact.Bloom(keys)
-    assert bloom.may_hold(keys).all() and bloom.may_hold(other).mean() < 0.05
+    bloom = exact.Bloom.sized(len(keys))
+    bloom.add(*exact._halves(keys))
+    assert bloom.may_hold(*exact._halves(keys)).all() and bloom.may_hold(*exact._halves(other)).mean() < 0.05
+
+
+def test_filter_of_a_table_loses_no_key_at_any_size(spark):
+    """Of numbers and of digests, nulls too; a filter of the least size still passes every key."""
+    numbers = spark.range(2000).selectExpr("id * 7919 as id").union(spark.sql("select cast(null as bigint)"))
+    digests = numbers.select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("id"))
+    for keys in (numbers, digests):
+        for most in (64, 1 << 20):
+            may = filters.passes(keys, most)
+            assert keys.where(~may(F.col("id"))).count() == 0
+    other = spark.range(2000).select((F.col("id") * 7919 + 1).alias("id"))
+    assert other.where(filters.passes(numbers)(F.col("id"))).count() < 100
+
+
+def test_compaction_in_blocks_equals_one_sort(tmp_path):
+    rng = np.random.default_rng(2)
+    index = exact.MergeIndex(memtable=8, fanout=3, folder=str(tmp_path))
+    want: dict[bytes, tuple] = {}
+    for _ in range(500):
+        digest, rank, ident = hashlib.sha256(bytes([int(rng.integers(0, 120))])).digest(), int(rng.integers(-4, 0)), int(rng.integers(0, 50))
+        index.put(digest, rank, ident)
+        old = want.get(digest, (0, 0, 0))
+        want[digest] = (*min([old[:2], (rank, ident)] if old[2] else [(rank, ident)]), old[2] + 1)
+    run = index.compact()
+    got = {bytes(k)[:-1]: tuple(map(int, v)) for k, *v in zip(*run.arrays, strict=True)}
+    assert got == want and all(a < b for a, b in zip(run.arrays[0][:-1], run.arrays[0][1:], strict=True))
+
+
+def test_same_id_with_two_texts_loses_neither(spark):
+    rows = [(3, "B"), (5, "A"), (5, "B"), (5, "A"), (None, "A"), (7, "long only here")]
+    got = exact.drop_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    same(got, [(3, "B"), (5, "A"), (None, "A"), (7, "long only here")], ["doc_id", "text"])

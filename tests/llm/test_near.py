@@ -114,3 +114,62 @@ def test_parities_bound_the_difference():
     flipped = sum(int(x).bit_count() for x in (p[0] ^ p[1]).view(np.uint64))
     assert 45 <= flipped <= 65 and (p[2] == 0).all()
     assert sum(int(x).bit_count() for x in p[0].view(np.uint64)) == (np.bincount((np.concatenate([both, a]) >> np.uint64(54)).astype(int)) % 2).sum()
+
+
+def test_blocks_change_no_signature():
+    rng = np.random.default_rng(6)
+    els = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    off = np.array([0, 0, 7, 3000, 3000, 4990, 5000])
+    want = sm.signatures(els, off)
+    for block in (1, 13, 512):
+        assert (sm.signatures(els, off, block=block) == want).all()
+
+
+def test_pieces_change_no_word():
+    rng = random.Random(3)
+    for _ in range(30):
+        texts = ["".join(rng.choice("ab c\t\u00e9") for _ in range(rng.randrange(0, 60))).encode() for _ in range(8)]
+        data, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        want = [(off[d] + m.start(), off[d] + m.end(), d) for d, t in enumerate(texts) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        whole = sm.wd.words(data, off)
+        assert list(zip(*(x.tolist() for x in whole[1:]), strict=True)) == want
+        for piece in (1, 2, 3, 7):
+            assert all((x == y).all() for x, y in zip(sm.wd.words(data, off, piece=piece), whole, strict=True))
+
+
+def test_a_text_of_50_mb_needs_little_more_than_its_words():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = " ".join(f"w{k * 7919 % 1000003}" for k in range(6_500_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text], pa.string())], names=["doc_id", "text"])
+    n = len(text)
+    del text
+    tracemalloc.start()
+    out = next(sm._sketch(5)(iter([batch])))
+    assert n > 50_000_000 and tracemalloc.get_traced_memory()[1] < 600 << 20 and out.column(1)[0].as_py() > 1_000_000
+    tracemalloc.stop()
+
+
+def test_a_bucket_of_many_unlinked_classes(spark):
+    """All texts share a passage, so buckets hold many of them, yet few are near each other; parts of a bucket lose nothing."""
+    rng = random.Random(21)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for k in range(5000):
+        tail = [f"t{rng.randrange(10**6)}" for _ in range(60)]
+        rows.append((2 * k, " ".join([*passage, *tail]), "en", "s"))
+        if k % 50 == 0:
+            rows.append((2 * k + 1, " ".join([*passage, *tail[:-1], "other"]), "en", "s"))
+    got = sm.near_dedup(documents(spark, rows), shingle=4).select("doc_id", "component_id").collect()
+    assert sum(r["doc_id"] != r["component_id"] for r in got) == 100
+    assert all(r["component_id"] == r["doc_id"] - r["doc_id"] % 2 for r in got)
+
+
+def test_parts_of_buckets_and_hubs_lose_nothing(spark, monkeypatch, tiny):
+    monkeypatch.setattr(sm, "PART", 3)
+    rows = [tuple(r) for r in spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(10_000 + k, f"{rows[0][1]} and then {k % 7}") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same(sm.near_dedup(df, shingle=4), brute(rows, 4, 80), COLUMNS)
