@@ -14,7 +14,9 @@ the filters last pushed with the loaded source, so a DataFrame that one plan use
 wrong rows.) A
 record's header block is parsed first, and of records that a predicate rejects, and of all when option payload is false,
 the block is skipped, by the member's packed length or, in plain archives, by Content-Length, and never decoded.
-Compressed archives without skip lengths are read as one stream.
+Members without skip lengths are inflated to their end. Files are planned whole and never split, as a member's begin can't be told from
+within a file; archives are usually of a GB at most. An archive that ends within a record, or has something else where one should
+begin, is an error that names it. op4_warc reads revisits by their headers alone and payloads of responses only.
 
 Defined results: a null html is an empty payload and an empty payload is a payload like others. Of repeated page_ids with
 equal payloads one is the response (the first by warc order is not defined, but exactly one is) and all report it. A null
@@ -24,7 +26,6 @@ columns are ignored. A null page_id sorts last.
 
 from __future__ import annotations
 
-import gzip
 import io
 import json
 import struct
@@ -43,6 +44,8 @@ from millrace.llm.common import Scratch, pick, table
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Partitions are filled with whole files up to this many bytes, and the writer closes files at about as many records.
 SPLIT_BYTES, FILE_RECORDS = 64 << 20, 20_000
+#: The payloads that most pages share, so many at most, are told to all tasks.
+HOT = 1 << 12
 END = "\r\n"
 SCHEMA = "record_type string, record_id string, target_uri string, warc_date string, payload_digest string, refers_to string, payload_length long, content_length long, headers map<string,string>, payload binary"
 
@@ -63,13 +66,19 @@ def typed(pages: DataFrame, least: int = 0, page_id: str = "page_id", url: str =
     rows = p.select("page_id", "url", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload").cast("binary")).alias("payload_digest"), F.sha2("payload", 256).alias("same"))
     order = F.struct(F.col("page_id").isNull().alias("last"), "page_id")
     first = rows.groupBy("same").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = scratch.keep(first.select("same", F.col("first.page_id").alias("first"), F.lit(True).alias("shared")), "first")
-    rows = rows.join(first, "same", "left")
+    first = scratch.keep(first.select("same", F.col("first.page_id").alias("first"), F.lit(True).alias("shared"), "n"), "first")
+    # Payloads of very many pages, HOT at most, are broadcast; their rows, and all that share nothing, are spread by themselves in the other join.
+    often = F.broadcast(first.orderBy(F.desc("n"), "same").limit(HOT).select(F.col("same").alias("_often"), F.col("first").alias("_first")))
+    rows = rows.join(often, F.col("same") == F.col("_often"), "left")
+    key = F.when(F.col("_often").isNull(), F.col("same")).otherwise(F.concat("same", F.lit("/"), F.xxhash64("page_id", "url").cast("string")))
+    rows = rows.withColumn("_key", key).join(first.select(F.col("same").alias("_key"), "first", "shared"), "_key", "left").drop("_key")
+    rows = rows.withColumn("first", F.coalesce("first", "_first")).withColumn("shared", F.coalesce("shared", F.col("_often").isNotNull())).drop("_often", "_first")
     # Of rows that repeat the first page_id, one holds the payload; only those that share it are numbered.
     again = rows.where("shared").groupBy("same", "page_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("same").alias("_s"), F.col("page_id").alias("_p"), F.lit(True).alias("twice"))
-    again = scratch.keep(again, "again")
-    rows = rows.join(again, (F.col("same") == F.col("_s")) & F.col("page_id").eqNullSafe(F.col("_p")), "left")
-    nth = F.when(F.col("twice"), F.row_number().over(W.partitionBy("same", "page_id").orderBy("url"))).otherwise(1) if not again.isEmpty() else F.lit(1)
+    again, nth = scratch.keep(again, "again"), F.lit(1)
+    if not again.isEmpty():
+        rows = rows.join(again, (F.col("same") == F.col("_s")) & F.col("page_id").eqNullSafe(F.col("_p")), "left")
+        nth = F.when(F.col("twice"), F.row_number().over(W.partitionBy("same", "page_id").orderBy("url"))).otherwise(1)
     revisit = F.coalesce("shared", F.lit(False)) & (F.col("payload_bytes") >= least) & (~F.col("page_id").eqNullSafe(F.col("first")) | (nth > 1))
     return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -205,15 +214,47 @@ def _row(head: dict[str, str], row: dict[str, str | None], body: bytes | None) -
     return (*(row[c] for c in ("record_type", "record_id", "target_uri", "warc_date", "payload_digest", "refers_to")), int(declared) if declared else None, int(head.get("content-length", 0)), head, body)
 
 
+def _exactly(f, n: int) -> bytes:
+    """n bytes, or an error: an archive that ends within a record is never waited for."""
+    data = f.read(n)
+    if len(data) < n:
+        raise EOFError(f"the archive ends {n - len(data)} bytes before a record does")
+    return data
+
+
 def records(f, wanted=lambda row: True, payload: bool = True) -> Iterator[tuple]:
-    """The rows of an open archive; f must seek."""
-    start = f.read(14)
+    """The rows of an open archive; f must seek. Each gzip member tells for itself whether it has skip lengths; empty members are passed."""
+    start = f.read(2)
     f.seek(0)
-    if start[:2] != b"\x1f\x8b":
-        return _plain(f, wanted, payload)
-    if start[3] == 4 and start[12:] == b"sl":
-        return _packed(f, wanted, payload)
-    return _plain(gzip.GzipFile(fileobj=f), wanted, payload)
+    if start != b"\x1f\x8b":
+        yield from _plain(f, wanted, payload)
+        return
+    while begin := f.read(24):
+        if begin[:2] != b"\x1f\x8b":
+            raise ValueError(f"no gzip member where one should begin: {begin[:10]!r}")
+        if len(begin) == 24 and begin[3] == 4 and begin[10:16] == b"\x0c\0sl\x08\0":
+            yield from _packed(f, struct.unpack("<I", begin[16:20])[0] - FRAME, wanted, payload)
+        else:
+            f.seek(-len(begin), io.SEEK_CUR)
+            yield from _member(f, wanted, payload)
+
+
+def _member(f, wanted, payload: bool) -> Iterator[tuple]:
+    """A gzip member without skip lengths: inflated as a stream, and left where it ends."""
+    inflate = zlib.decompressobj(31)
+
+    class Stream(io.RawIOBase):
+        readable = lambda self: True
+
+        def readinto(self, into) -> int:
+            text = b""
+            while not text and not inflate.eof:
+                text = inflate.decompress(inflate.unconsumed_tail or _exactly(f, 1) + f.read(1 << 16), len(into))
+            into[: len(text)] = text
+            return len(text)
+
+    yield from _plain(io.BufferedReader(Stream(), 1 << 16), wanted, payload)
+    f.seek(-len(inflate.unused_data), io.SEEK_CUR)
 
 
 def _plain(f, wanted, payload: bool) -> Iterator[tuple]:
@@ -223,38 +264,49 @@ def _plain(f, wanted, payload: bool) -> Iterator[tuple]:
         block = line
         while (line := f.readline()).strip():
             block += line
+        if not line:
+            raise EOFError("the archive ends within a header")
         head = _headers(block)
         row, length = _filtered(head), int(head.get("content-length", 0))
         fits = wanted(row)
         if fits and payload and row["record_type"] != "revisit":
-            yield _row(head, row, f.read(length))
+            yield _row(head, row, _exactly(f, length))
         else:
-            f.seek(length, io.SEEK_CUR)
+            _skipped(f, length)
             if fits:
                 yield _row(head, row, None)
 
 
-def _packed(f, wanted, payload: bool) -> Iterator[tuple]:
-    while len(begin := f.read(10)) == 10:
-        if begin[3] == 0:  # EMPTY
-            f.seek(10, io.SEEK_CUR)
-            continue
-        left = struct.unpack("<II", f.read(14)[6:])[0] - FRAME
-        inflate, text = zlib.decompressobj(-15), b""
-        while (cut := text.find(b"\r\n\r\n")) < 0 and left:
-            part = f.read(min(left, 1024))
-            left -= len(part)
-            text += inflate.decompress(part)
-        head = _headers(text[:cut])
-        row = _filtered(head)
-        fits = wanted(row)
-        if fits and payload and row["record_type"] != "revisit":
-            text += inflate.decompress(f.read(left)) + inflate.flush()
-            left = 0
-            yield _row(head, row, text[cut + 4 : cut + 4 + int(head.get("content-length", 0))])
-        elif fits:
-            yield _row(head, row, None)
-        f.seek(left + 8, io.SEEK_CUR)
+def _skipped(f, n: int) -> None:
+    """Pass n bytes and see that they are there."""
+    if n and f.seekable():
+        f.seek(n - 1, io.SEEK_CUR)
+        n = 1
+    while n:
+        n -= len(_exactly(f, min(n, 1 << 16)))
+
+
+def _packed(f, left: int, wanted, payload: bool) -> Iterator[tuple]:
+    """The member whose deflated body, of `left` bytes, comes next."""
+    inflate, text = zlib.decompressobj(-15), b""
+    while (cut := text.find(b"\r\n\r\n")) < 0 and left > 0:
+        part = _exactly(f, min(left, 1024))
+        left -= len(part)
+        text += inflate.decompress(part)
+    if cut < 0:
+        raise ValueError("a WARC record without the end of its header")
+    head = _headers(text[:cut])
+    row = _filtered(head)
+    fits = wanted(row)
+    if fits and payload and row["record_type"] != "revisit":
+        text += inflate.decompress(_exactly(f, left)) + inflate.flush()
+        left, length = 0, int(head.get("content-length", 0))
+        if len(text) < cut + 4 + length:
+            raise EOFError("a WARC record shorter than its Content-Length")
+        yield _row(head, row, text[cut + 4 : cut + 4 + length])
+    elif fits:
+        yield _row(head, row, None)
+    _skipped(f, left + 8)
 
 
 class WarcSource(DataSource):
@@ -294,7 +346,8 @@ def digest_rows(archive: DataFrame) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "warc").at("archive")
     write_warc(table(spark, sf_dir, "pages"), path)
-    return digest_rows(read_warc(spark, path))
+    revisits = read_warc(spark, path, payload=False, where={"record_type": "revisit"})
+    return digest_rows(read_warc(spark, path, where={"record_type": "response"}).unionByName(revisits))
 
 
 _LETTER = "substr('" + ALPHABET + "', 1 + (({n} >> {s}) & 31), 1)"

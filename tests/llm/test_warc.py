@@ -2,6 +2,8 @@ import base64
 import glob
 import gzip
 import hashlib
+import io
+import struct
 
 import duckdb
 import pytest
@@ -107,3 +109,44 @@ def test_what_is_no_record_fails(tmp_path):
     reader = warc.WarcReader({"path": str(tmp_path / "bad")})
     with pytest.raises(ValueError, match="no WARC record"):
         list(reader.read(reader.partitions()[0]))
+
+
+def record(page, body):
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+    return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:millrace:page:%d>\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % (page, len(block)) + block + b"\r\n\r\n"
+
+
+def read(data, **options):
+    return [(r[1], r[9]) for r in warc.records(io.BufferedReader(io.BytesIO(data)), **options)]
+
+
+def test_members_of_any_kind_in_one_archive():
+    """With skip lengths, without, several records in a member, empty members, and a name field in a header."""
+    named = io.BytesIO()
+    with gzip.GzipFile("name", "wb", fileobj=named) as f:
+        f.write(record(3, b"c" * 200_000))
+    data = warc.member(record(1, b"a")) + gzip.compress(record(2, b"b" * 70_000) + record(4, b"")) + gzip.compress(b"") + warc.EMPTY + named.getvalue() + warc.member(record(5, b"e"))
+    want = [(f"<urn:millrace:page:{k}>", body) for k, body in ((1, b"a"), (2, b"b" * 70_000), (4, b""), (3, b"c" * 200_000), (5, b"e"))]
+    assert read(data) == want
+    assert read(data, payload=False) == [(k, None) for k, _ in want]
+    assert read(data, wanted=lambda row: row["record_id"].endswith(":5>")) == want[-1:]
+    assert read(b"") == []
+
+
+@pytest.mark.parametrize("payload", [True, False])
+def test_an_archive_cut_anywhere_ends_with_an_error(payload):
+    body = bytes(range(256)) * 4
+    for whole in (record(1, body), gzip.compress(record(1, body)), warc.member(record(1, body))):
+        for cut in range(1, len(whole) - 4, 7):
+            with pytest.raises((EOFError, ValueError)):
+                read(record(7, b"x") * (whole[:1] == b"W") + whole[:cut], payload=payload)
+    lying = bytearray(warc.member(record(1, body)))
+    lying[16:20] = struct.pack("<I", len(lying) + 1000)
+    with pytest.raises((EOFError, ValueError)):
+        read(bytes(lying), payload=payload)
+
+
+def test_hot_payloads_and_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT", 2)
+    pages = [(k, f"u{k}", "abc"[min(k % 7, 2)] if k % 3 else f"own{k // 2 * 2}") for k in range(300)]
+    same(warc.typed(spark.createDataFrame(pages, "page_id long, url string, html string")), brute(pages), COLUMNS)
