@@ -1,9 +1,9 @@
 """Sharding by longest-processing-time scheduling: rows of equal texts stay together and shards are near equal in bytes.
 
 Groups larger than 1/(shards * FINE) of all bytes are fewer than shards * FINE, so a driver-side heap can place them
-one by one, largest first. The other groups are first packed, in each of a fixed number of buckets of their digests, by
-the same heap into as many bins as there are shards; those bins, at most shards * BUCKETS of them, then go through the
-driver's heap in order of size. So the driver sees a bounded number of sizes however many rows there are.
+one by one, largest first. The other groups are first packed, in each of several buckets of their digests, by the same heap into
+as many bins as there are shards; those bins then go through the driver's heap in order of size. There is a bucket for every BUCKET_ROWS
+rows, so a task packs about as many groups at most, and the driver sees `shards` sizes for as many rows: 20,000 for 10 ** 9 rows.
 
 Defined results: a null text has no bytes and crc32 0; null texts are equal to each other, and not to the empty text.
 Repeated rows are rows of one group and each gets a slot. An empty table gives an empty result. law is 'bytes', and
@@ -15,14 +15,15 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch, pick, table
+from millrace.model import ranked
 
-SHARDS, FINE, BUCKETS = 40, 128, 64
+SHARDS, FINE, BUCKET_ROWS = 40, 128, 2_000_000
 
 
 def lpt(sizes: Iterable[tuple[int, object]], loads: list[int]) -> Iterator[tuple[object, int]]:
@@ -38,8 +39,11 @@ def lpt(sizes: Iterable[tuple[int, object]], loads: list[int]) -> Iterator[tuple
 
 def _bins(shards: int):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        placed = dict(lpt(zip(pdf["bytes"].tolist(), pdf["digest"].tolist(), strict=True), [0] * shards))
-        return pdf.assign(bin=pdf["digest"].map(placed).astype("int32"))
+        pdf = pdf.sort_values("digest", ignore_index=True)
+        bins = np.zeros(len(pdf), np.int32)
+        for row, k in lpt(zip(pdf["bytes"].tolist(), range(len(pdf)), strict=True), [0] * shards):
+            bins[row] = k
+        return pdf.assign(bin=bins)
 
     return pack
 
@@ -55,30 +59,32 @@ def shard_lpt(docs: DataFrame, shards: int = SHARDS, text: str = "text", doc_id:
     )
     rows = scratch.keep(rows, "rows")
     groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    most = max(1, total // (shards * FINE))
+    totals = rows.agg(F.sum("size"), F.count("*")).first()
+    most = max(1, (totals[0] or 0) // (shards * FINE))
     loads = [0] * shards
-    large = groups.where(F.col("bytes") > most)  # fewer than shards * FINE rows, as their sum is at most total
+    large = groups.where(F.col("bytes") > most)  # fewer than shards * FINE rows, as their sum is at most the total
     top = list(lpt(((r["bytes"], bytes(r["digest"])) for r in large.collect()), loads))
-    # Buckets grow in number with the rows, so that no bucket has more than about half a million groups.
-    buckets = min(4096, max(BUCKETS, rows.count() // 500_000))
+    buckets = -(-totals[1] // BUCKET_ROWS) or 1
     small = groups.where(F.col("bytes") <= most).withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int"))
     small = scratch.keep(small.groupBy("bucket").applyInPandas(_bins(shards), "digest binary, bytes long, bucket int, bin int"), "small")
-    bins = small.groupBy("bucket", "bin").agg(F.sum("bytes").alias("bytes"))  # at most shards * buckets rows
+    bins = small.groupBy("bucket", "bin").agg(F.sum("bytes").alias("bytes"))  # at most `shards` rows for each BUCKET_ROWS rows of docs
     low = list(lpt(((r["bytes"], (r["bucket"], r["bin"])) for r in bins.collect()), loads))
     of_bin = spark.createDataFrame([(b, i, s) for (b, i), s in low], "bucket int, bin int, shard int")
     of_top = spark.createDataFrame([(bytearray(d), s) for d, s in top], "digest binary, shard int")
-    placed = small.join(F.broadcast(of_bin), ["bucket", "bin"]).select("digest", "shard").unionByName(of_top)
-    placed = scratch.keep(rows.join(placed, "digest").select("doc_id", "size", "text_crc32", "shard"), "placed")
-
-    # Slots: a row's place within a slice of its shard, after the rows of the slices before.
-    part = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int").alias("part")
-    cut = placed.select("*", part)
-    before = cut.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    before = before.select("shard", "part", (F.sum("n").over(W.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
-    slot = F.row_number().over(W.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")) - 1
-    return cut.withColumn("at", slot).join(F.broadcast(before), ["shard", "part"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") + F.col("before")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    # Of the large groups any may hold a great part of all rows, so they are found by broadcast; the others hold 1 / (shards * FINE) of all bytes at most.
+    named = of_top.select(F.col("digest").alias("_top"), F.col("shard").alias("_of_top"))
+    dealt = rows.join(F.broadcast(named), F.col("digest") == F.col("_top"), "left")
+    placed = small.join(F.broadcast(of_bin), ["bucket", "bin"]).select("digest", "shard")
+    rest = dealt.where("_of_top is null").join(placed, "digest")
+    placed = dealt.where("_of_top is not null").select("doc_id", "size", "text_crc32", F.col("_of_top").alias("shard")).unionByName(rest.select("doc_id", "size", "text_crc32", "shard"))
+    placed = scratch.keep(placed, "placed").withColumn("tie", F.monotonically_increasing_id())
+
+    # Slots: places in one order of all rows, in sorted ranges, less the place where the shard begins; equal rows fall into any range.
+    order = [F.col(c) for c in ("shard", "doc_id", "text_crc32", "size", "tie")]
+    placed = ranked(placed, order, scratch, "place")
+    begins = placed.groupBy("shard").agg(F.min("place").alias("begin"))  # a row a shard
+    return placed.join(F.broadcast(begins), "shard").select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") - F.col("begin")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
 
