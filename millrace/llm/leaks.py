@@ -6,7 +6,11 @@ keeps its seeds. Seeds are looked up at every word of every document; hits on ne
 aligned with the item. The score is the alignment's, over the one of the item with itself.
 
 Items come to the driver in blocks of BLOCK_BYTES of text at most and each block is one pass over the documents, which
-shuffles nothing; however many items there are, none is left out.
+shuffles nothing; however many items there are, none is left out. A GB of items would be about 125 passes. Each block's index rides
+in the closure of its pass, a few times BLOCK_BYTES.
+
+Places of an item where a gram occurs again and again are one interval, hits are held HITS at a time, and long windows are aligned in
+pieces, so a text of any length and repetition is aligned in full in bounded memory beyond its own words.
 
 Defined results: items without a word match nothing; an item shorter than the least n is seeded as a whole; null and empty
 texts match nothing; repeated documents report each, repeated items too; a document and item with several matches report
@@ -26,7 +30,7 @@ from millrace.llm import words as wd
 from millrace.llm.common import pick, prepare, table
 from millrace.llm.passages import MATCH, Passages, align, char_span, document_words, text_hashes
 
-SEED_WORDS, RARE, MIN_SCORE, BLOCK_BYTES = (3, 4, 6, 8), 18.0, 0.4, 8 << 20
+SEED_WORDS, RARE, MIN_SCORE, BLOCK_BYTES = (2, 3, 4, 6, 8), 18.0, 0.4, 8 << 20
 _DDL = "doc_id long, item_id long, score double, matched_words long, item_words long, coverage double, char_start long, char_end long"
 
 
