@@ -1,11 +1,16 @@
-"""Intermediate tables in the folder all executors share; they cut lineage and outlive lost executors."""
+"""Intermediate tables in the folder all executors share; they cut lineage and outlive lost executors.
+
+They are dropped when the process ends, or earlier: what is made within `with released():` goes at the end of the block.
+"""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,8 +19,10 @@ _open: list[Scratch] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What the cluster names in spark.checkpoint.dir; a folder of our own where none is set, as in local tests."""
+    """What the cluster names in spark.checkpoint.dir; a folder of our own where none is set and executors share this machine's files."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset; a cluster needs it to name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", path)
         _made.append(path)
@@ -39,6 +46,18 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def released() -> Iterator[None]:
+    """Drop at the end what is stored within; results that are to outlive the block must have been written."""
+    before = list(_open)
+    try:
+        yield
+    finally:
+        for s in [s for s in _open if s not in before]:
+            s.drop()
+            _open.remove(s)
+
+
 @atexit.register
 def _sweep() -> None:
     for s in _open:
