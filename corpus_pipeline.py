@@ -9,11 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import common, exact, langid, leaks, pieces, superminhash
+from millrace.scratch import released
+
+#: The corpus is to hold these; a document without letters, in another language or of doubtful language goes.
+LANGUAGES, LEAST_SCORE = frozenset({"de", "en", "es", "fr"}), 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has letters and is in a language that the labelled documents have."""
-    return langid.keep_languages(docs)
+    """Documents whose text is, with a score of LEAST_SCORE or more, in one of LANGUAGES."""
+    return langid.keep_languages(docs, languages=LANGUAGES, least=LEAST_SCORE)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,6 +47,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = common.Scratch(spark, "pipeline")
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        with released():
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(STAGES[k - 1][0])
     return docs

@@ -11,7 +11,7 @@ from .test_near import brute as near_brute
 def test_run_equals_the_stages_by_brute_force(spark, tiny):
     docs = common.table(spark, tiny, "documents")
     predicted = {r["doc_id"]: r for r in langid.predict(docs, langid.train(docs)).collect()}
-    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect() if predicted[r["doc_id"]]["lang_pred"] != "und" and predicted[r["doc_id"]]["score"] >= 0.3)
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect() if predicted[r["doc_id"]]["lang_pred"] in corpus_pipeline.LANGUAGES and predicted[r["doc_id"]]["score"] >= corpus_pipeline.LEAST_SCORE)
     first = {}
     for doc, text in sorted(rows, key=lambda r: (-len(r[1]), r[0])):
         first.setdefault(hashlib.sha256(text.translate(STRIP).encode()).digest(), doc)
