@@ -41,6 +41,15 @@ def union(snapshots: dict[str, DataFrame]) -> DataFrame:
     return both.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in rest], F.sort_array(F.collect_set("origin")).alias("origins"))
 
 
+#: Up to so many identifiers are broadcast, a hundred bytes each at most.
+FEW = 1 << 18
+
+
+def few(stored: DataFrame) -> DataFrame:
+    """A stored table of a row a document, to join with: broadcast while it is small, so that no text is shuffled; else merge-joined."""
+    return F.broadcast(stored) if stored.count() <= FEW else stored.hint("merge")
+
+
 def ranked(df: DataFrame, order: list[Column], scratch: Scratch, name: str = "rank") -> DataFrame:
     """df with a column `name`, 0 to n - 1 in the order: sorted ranges, and what the ranges before hold. No task sees all rows."""
     at = F.monotonically_increasing_id()

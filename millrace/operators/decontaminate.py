@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators.units import MOST_N, coalesce, units
+from millrace.operators.units import coalesce, units
 from millrace.scratch import Scratch
 
 
@@ -21,30 +22,30 @@ from millrace.scratch import Scratch
 SMALL = 500_000
 
 
-def _sized(known: DataFrame) -> DataFrame:
-    stored = Scratch(known.sparkSession, "reference").keep(known, "units")
-    return F.broadcast(stored) if stored.count() <= SMALL else stored.hint("merge")
+def _shared(docs: DataFrame, references: DataFrame, algorithm: str, n: int, witness: bool) -> DataFrame:
+    """Units of docs that a reference has too, with w (the least id, start, end that has it) if a witness is asked for.
+
+    Few n-grams of references are told to all tasks, so only hits leave the scan of docs.
+    """
+    known = units(references, algorithm, n).groupBy("unit").agg(F.min(F.struct(F.col("doc_id").alias("id"), "start", "end")).alias("w"))
+    stored = Scratch(known.sparkSession, "reference").keep(known if witness else known.select("unit"), "units")
+    if stored.count() > SMALL:
+        return units(docs, algorithm, n).join(stored.hint("merge"), "unit")
+    first = None
+    if algorithm == "ngram":
+        halves = stored.select(F.substring("unit", 1, 8).alias("h")).toArrow().column("h").combine_chunks().to_pylist()  # at most SMALL rows
+        first = np.unique(np.frombuffer(b"".join(halves), "<u8"))
+    return units(docs, algorithm, n, first).join(F.broadcast(stored), "unit")
 
 
 def matches(docs: DataFrame, references: DataFrame, algorithm: str = "ngram", n: int = 13) -> DataFrame:
     """doc_id, start, end, ref_id, ref_start, ref_end of every unit that a reference document has too."""
-    known = units(references, algorithm, n).groupBy("unit").agg(F.min(F.struct(F.col("doc_id").alias("id"), "start", "end")).alias("w"))
-    return units(docs, algorithm, n).join(_sized(known), "unit").select("doc_id", "start", "end", F.col("w.id").alias("ref_id"), F.col("w.start").alias("ref_start"), F.col("w.end").alias("ref_end"))
+    return _shared(docs, references, algorithm, n, True).select("doc_id", "start", "end", F.col("w.id").alias("ref_id"), F.col("w.start").alias("ref_start"), F.col("w.end").alias("ref_end"))
 
 
 def contaminated(docs: DataFrame, references: DataFrame, algorithm: str = "ngram", n: int = 13) -> DataFrame:
-    """doc_id of documents with any shared unit. No offsets are asked for, so units are made in the JVM."""
-    if algorithm == "ngram":
-        if not 1 <= n <= MOST_N:
-            raise ValueError(f"n is 1 to {MOST_N}")
-        grams = lambda df: df.select("doc_id", F.explode(T.word_grams(F.col("text"), n, lambda g: F.struct(T.gram_hash(g).alias("a"), F.hash(g).alias("b")))).alias("unit"))
-    elif algorithm == "line":
-        grams = lambda df: df.select("doc_id", F.explode(T.lines(F.col("text"))).alias("line")).select("doc_id", F.sha2("line", 256).alias("unit"))
-    elif algorithm == "document":
-        grams = lambda df: df.select("doc_id", T.content(F.col("text")).alias("unit"))
-    else:
-        raise ValueError(f"no units of kind {algorithm!r}")
-    return grams(docs).join(_sized(grams(references).select("unit").distinct()), "unit", "left_semi").select("doc_id").distinct()
+    """doc_id of documents with any shared unit."""
+    return _shared(docs, references, algorithm, n, False).select("doc_id").distinct()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,27 +24,40 @@ def text_profile(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("documents"), F.sum("n_bytes").alias("bytes"), F.sum("n_chars").alias("characters"), F.sum(T.newlines(F.col("text"))).alias("newlines"))
 
 
+#: Integers up to here are exact as doubles.
+EXACT = 1 << 53
+
+
 def numeric(docs: DataFrame, columns: Sequence[str], *by: str, weight: str | None = None) -> DataFrame:
     """A row a column (and group): documents, missing, total, mean, population deviation, min, max of the non-null values.
 
-    Deviations are taken from the smallest value, so that large integers keep their precision. weight: occurrences.
+    One pass over docs, with merged central moments. Only where integers are too large for doubles, or rows have a weight
+    (occurrences), a second pass takes deviations from the smallest value.
     """
-    lows = [F.min(c).alias(f"_low_{c}") for c in columns]
-    if by:
-        both = docs.join(docs.groupBy(*by).agg(*lows), list(by))
-    else:
-        both = docs.withColumns({k: F.lit(v) for k, v in docs.agg(*lows).first().asDict().items()})
     w = F.col(weight) if weight else F.lit(1)
     aggs = [F.sum(w).alias("_rows")]
     for c in columns:
-        x = F.when(F.col(c).isNotNull(), w)
-        d = (F.col(c) - F.col(f"_low_{c}")).cast("double")
-        aggs += [F.coalesce(F.sum(x), F.lit(0)).alias(f"n_{c}"), F.sum(F.col(c) * w).alias(f"total_{c}"), F.sum(d * w).alias(f"d_{c}"), F.sum(d * d * w).alias(f"s_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}")]
-    one = both.groupBy(*by).agg(*aggs)
+        aggs += [F.coalesce(F.sum(F.when(F.col(c).isNotNull(), w)), F.lit(0)).alias(f"n_{c}"), F.sum(F.col(c) * w).alias(f"total_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), F.var_pop(F.col(c).cast("double")).alias(f"v_{c}")]
+    one = docs.groupBy(*by).agg(*aggs)
+    one = Scratch(docs.sparkSession, "numeric").keep(one, "moments") if by else docs.sparkSession.createDataFrame(one.collect(), one.schema)
+    whole = [c for c in columns if dict(docs.dtypes)[c] in ("bigint", "decimal(20,0)")]
+    far = [F.max(F.greatest(F.abs(F.col(f"min_{c}")), F.abs(F.col(f"max_{c}"))) > EXACT).alias(c) for c in whole]
+    again = columns if weight else [c for c, x in one.agg(*far).first().asDict().items() if x] if far else []
+    if again:
+        shift = lambda c: (F.col(c) - F.col(f"min_{c}")).cast("double")
+        lows = one.select(*[F.col(g).alias(f"_by{k}") for k, g in enumerate(by)], *[f"min_{c}" for c in again])
+        same = F.lit(True)
+        for k, g in enumerate(by):
+            same &= F.col(g).eqNullSafe(F.col(f"_by{k}"))
+        both = docs.join(lows if by else F.broadcast(lows), same)
+        n = lambda c: F.sum(F.when(F.col(c).isNotNull(), w))
+        second = both.groupBy(*by).agg(*[((F.sum(shift(c) * shift(c) * w) / n(c)) - F.pow(F.sum(shift(c) * w) / n(c), 2)).alias(f"w_{c}") for c in again])
+        second = second.select(*[F.col(g).alias(f"_by{k}") for k, g in enumerate(by)], *[f"w_{c}" for c in again])
+        one = one.join(second, same, "left")
     rows = []
     for c in columns:
-        n, d, s = F.col(f"n_{c}"), F.col(f"d_{c}"), F.col(f"s_{c}")
-        rows.append(F.struct(F.lit(c).alias("field"), n.cast("long").alias("documents"), (F.col("_rows") - n).cast("long").alias("missing"), F.col(f"total_{c}").cast("double").alias("total"), (F.col(f"total_{c}") / n).cast("double").alias("mean"), F.sqrt(F.greatest(s / n - (d / n) * (d / n), F.lit(0.0))).alias("deviation"), F.col(f"min_{c}").cast("double").alias("min"), F.col(f"max_{c}").cast("double").alias("max")))
+        n, v = F.col(f"n_{c}"), F.col(f"w_{c}" if c in again else f"v_{c}")
+        rows.append(F.struct(F.lit(c).alias("field"), n.cast("long").alias("documents"), (F.coalesce("_rows", F.lit(0)) - n).cast("long").alias("missing"), F.col(f"total_{c}").cast("double").alias("total"), (F.col(f"total_{c}") / n).cast("double").alias("mean"), F.sqrt(F.greatest(v, F.when(v.isNotNull(), 0.0))).alias("deviation"), F.col(f"min_{c}").cast("double").alias("min"), F.col(f"max_{c}").cast("double").alias("max")))
     return one.select(*by, F.explode(F.array(*rows)).alias("r")).select(*by, "r.*")
 
 
@@ -73,11 +86,18 @@ def histogram(docs: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame
 
 
 def quantiles(docs: DataFrame, column: str, points: Sequence[float]) -> DataFrame:
-    """point, value by nearest rank, without interpolation."""
+    """point, value by nearest rank, without interpolation; ranks come from sorted ranges of the distinct values, never from one task."""
     if dict(docs.dtypes)[column] in ("string", "boolean"):
         raise TypeError("quantiles are of numbers")
-    one = docs.agg(*[F.expr(f"percentile_disc({p}) within group (order by `{column}`)").alias(f"q{k}") for k, p in enumerate(points)])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(float(p)).alias("point"), F.col(f"q{k}").cast("double").alias("value")) for k, p in enumerate(points)])).alias("r")).select("r.*")
+    from millrace.model import running
+
+    scratch = Scratch(docs.sparkSession, "quantiles")
+    each = scratch.keep(docs.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")), "values")
+    total = each.agg(F.sum("n")).first()[0] or 0
+    ranks = docs.sparkSession.createDataFrame([(k, float(p), max(1, math.ceil(p * total))) for k, p in enumerate(points)], "k int, point double, rank long")
+    placed = running(each, [F.col("value")], "n", scratch)
+    hit = placed.join(F.broadcast(ranks), (F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("n"))).select("k", F.col("value").cast("double").alias("value"))
+    return F.broadcast(ranks).join(hit, "k", "left").select("point", "value")
 
 
 def quantile_range(buckets: Sequence[tuple[float, float, int]], p: float) -> tuple[float, float]:

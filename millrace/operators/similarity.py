@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import hashing
 from millrace.functions import text as T
 from millrace.functions.fields import Ordering
 from millrace.operators.order import with_order
@@ -37,9 +38,16 @@ def check_threshold(threshold: float, n: int = 1) -> None:
 
 def jaccard_classes(docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """doc_id, rep, size, grams: classes of equal gram sets; texts of fewer than n words are equal by text."""
-    grams = scratch.keep(docs.select("doc_id", "_rank", F.array_sort(T.gram_set(F.col("text"), n)).alias("grams"), "content"), "grams")
-    key = F.when(F.size("grams") == 0, F.col("content")).otherwise(F.sha2(F.array_join("grams", ","), 256))
-    keyed = grams.select("doc_id", "_rank", key.alias("key"), F.size("grams").alias("n_grams"), "grams")
+    kind, rank = (docs.schema[c].dataType.simpleString() for c in ("doc_id", "_rank"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, at = hashing.gram_sets(b.column(2), n)
+            keys = [blake2b(h[lo:hi].tobytes(), digest_size=16).hexdigest() if hi > lo else text for lo, hi, text in zip(at[:-1], at[1:], b.column(3).to_pylist(), strict=True)]
+            sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.string()), pa.array(np.diff(at).astype(np.int32)), sets], names=["doc_id", "_rank", "key", "n_grams", "grams"])
+
+    keyed = scratch.keep(docs.select("doc_id", "_rank", "text", "content").mapInArrow(run, f"doc_id {kind}, _rank {rank}, key string, n_grams int, grams array<bigint>"), "grams")
     first = keyed.groupBy("key").agg(F.min_by("doc_id", "_rank").alias("rep"), F.min("_rank").alias("rep_rank"), F.count("*").alias("size"))
     return scratch.keep(keyed.join(first, "key").select("doc_id", "rep", "rep_rank", "size", "n_grams", "grams"), "classes")
 

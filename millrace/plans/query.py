@@ -12,11 +12,11 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.fields import Field, Ordering, Predicate
+from millrace.model import few
 from millrace.operators import decontaminate as dc
 from millrace.operators import dedupe as dd
 from millrace.operators import profiles, sampling
@@ -171,16 +171,29 @@ class Query:
 
     @staticmethod
     def _marked(rows: DataFrame, lost: DataFrame, decision) -> DataFrame:
-        both = rows.join(lost.select("doc_id", F.col("kept").alias("_kept"), F.lit(True).alias("_lost")), "doc_id", "left")
+        both = rows.join(few(lost.select("doc_id", F.col("kept").alias("_kept"), F.lit(True).alias("_lost"))), "doc_id", "left")
         return both.withColumn("decision", F.when(F.col("_lost"), decision).otherwise(F.col("decision"))).drop("_kept", "_lost")
 
     def rows(self) -> DataFrame:
-        """Retained documents, one row an occurrence."""
+        """Retained documents, one row an occurrence. Where only filters are asked for, they are filters, and so reach the scan."""
+        if self.sample is None and self.decontaminate is None and all(isinstance(s, Where) for s in self.steps):
+            kept, kind = self.docs, _DECISION.format(id=self.docs.schema["doc_id"].dataType.simpleString())
+            for s in self.steps:
+                kept = kept.where(s.predicate.column)
+            retained = F.struct(F.lit("retained").alias("kind"), F.lit(None).cast("int").alias("step"), F.lit(None).alias("kept")).cast(kind)
+            return kept.withColumns({"decision": retained, "active": F.lit(True), "occurrence": F.lit(0).cast("long")})
         kept = self.compile().where("active")
         if "occurrences" in self._cache:
             return kept.join(self._cache["occurrences"].select("doc_id", "occurrence"), "doc_id")
         return kept.withColumn("occurrence", F.lit(0).cast("long"))
 
+    def projected(self) -> DataFrame:
+        """The retained documents' identity, sizes and the fields asked for, whether or not a filter uses them."""
+        core = ("doc_id", "corpus_id", "source_key", "n_bytes", "n_chars", "occurrence")
+        if missing := [f for f in self.fields if f not in self.docs.columns]:
+            raise ValueError(f"no such fields: {missing}")
+        return self.rows().select(*core, *[f for f in self.fields if f not in core])
+
     def numbered(self) -> DataFrame:
         """rows() in final order: by document, with ordinals from 0."""
         from millrace.model import ranked
@@ -204,8 +217,3 @@ class Query:
     def origins(self) -> DataFrame:
         """Retained documents and bytes by corpus."""
         return profiles.counts(self.rows(), "corpus_id")
-
-
-def rank_in_group(df: DataFrame, group: str, order: Sequence) -> DataFrame:
-    """The place of each row in its group's order, from 1."""
-    return df.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(*order)))

@@ -21,6 +21,7 @@ from millrace.operators import similarity as si
 from millrace.operators import tokens as tk
 from millrace.plans import query as q
 from millrace.scratch import Scratch
+from millrace.sources.prepared import prepare
 from millrace.sources.snapshots import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -633,13 +634,14 @@ def profile_steps(spark, sf):
     return _stepped(spark, sf).profile()
 
 
-@query()
+@query(f"""WITH {D}, o AS (SELECT *, row_number() OVER (ORDER BY sha256('sample/7/' || doc_id), doc_id) - 1 AS place, count(*) OVER () AS n FROM d), k AS (SELECT unnest(range((SELECT 2 * count(*) FROM d))) AS draw),
+t AS (SELECT o.n_bytes, o.n_chars FROM k JOIN o ON o.place = CAST('0x' || sha256('sample-replacement/7/[]/' || draw)[1:15] AS BIGINT) % o.n) """ + " UNION ALL ".join(_NUM.format(c=c).replace("FROM d", "FROM t") for c in ("n_bytes", "n_chars")))
 def profile_occurrences(spark, sf):
     """Moments weighted by how often a sample with replacement holds each document."""
     d = docs(spark, sf)
     out, _ = sm.sample(d, "fraction", 2.0, 7, replacement=True)
     times = out.groupBy("doc_id").agg(F.count("*").alias("times"))
-    return pf.numeric(d.join(times, "doc_id"), ["n_bytes", "n_chars"], weight="times")
+    return pf.numeric(d.join(times, "doc_id"), ["n_bytes", "n_chars"], weight="times").withColumns({c: F.round(c, 6) for c in ("mean", "deviation")})
 
 
 @query()
@@ -672,17 +674,36 @@ def field_word_stats(spark, sf):
     return s.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("avg_word_length", "short_word_ratio_3", "long_word_ratio_7", "type_token_ratio")])
 
 
-@query()
+@query(f"""WITH {D}, w AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w, string_split(text, chr(10)) AS l FROM d),
+m AS (SELECT doc_id, len(w) AS n, list_sum([length(x) FOR x IN w]) / len(w) AS size, (len([x FOR x IN w IF contains(x, '#')]) + len([x FOR x IN w IF contains(x, '...') OR contains(x, '…')])) / len(w) AS symbols,
+  len([x FOR x IN l IF regexp_matches(ltrim(x), '^[•-]')]) / len(l) AS bullets, len([x FOR x IN l IF regexp_matches(rtrim(x), '(\\.\\.\\.|…)$')]) / len(l) AS ellipses, len([x FOR x IN w IF regexp_matches(x, '\\p{{L}}')]) / len(w) AS alpha,
+  len(list_intersect(list_distinct(w), ['the', 'be', 'to', 'of', 'and', 'that', 'have', 'with'])) AS plain FROM w)
+SELECT doc_id FROM m WHERE n BETWEEN 50 AND 100000 AND size BETWEEN 3 AND 10 AND symbols <= 0.1 AND bullets <= 0.9 AND ellipses <= 0.3 AND alpha >= 0.8 AND plain >= 2""")
 def recipe_gopher_quality(spark, sf):
     return recipes.gopher_quality(docs(spark, sf)).select("doc_id")
 
 
-@query()
+def _repetition() -> str:
+    """Per n: the grams of each document with their numbers; of n up to 4 the most frequent counts, else all repeats."""
+    grams = [f"SELECT doc_id, {n} AS n, unnest([array_to_string(w[i:i + {n - 1}], ' ') FOR i IN range(1, len(w) - {n - 2})]) AS g FROM w WHERE len(w) >= {n}" for n in range(2, 11)]
+    limit = "CASE n " + " ".join(f"WHEN {n} THEN {x}" for n, x in (recipes.TOP | recipes.REPEATED).items()) + " END"
+    part = lambda p: f"list_max([(len({p}) - len(list_distinct({p}))) / greatest(len({p}), 1) / {recipes.LINES}, (list_sum([length(x) FOR x IN {p}]) - list_sum([length(x) FOR x IN list_distinct({p})])) / greatest(n, 1) / {recipes.LINE_CHARS}])"
+    return f"""WITH {D}, w AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM d), g AS ({" UNION ALL ".join(grams)}),
+t AS (SELECT doc_id, n, g, count(*) AS k, length(g) AS size FROM g GROUP BY doc_id, n, g),
+s AS (SELECT t.doc_id, t.n, CASE WHEN t.n <= 4 THEN coalesce(max(CASE WHEN k > 1 THEN {{'k': k, 'size': size}} END).k * max(CASE WHEN k > 1 THEN {{'k': k, 'size': size}} END).size, 0) ELSE sum((k - 1) * size) END AS amount FROM t GROUP BY t.doc_id, t.n),
+r AS (SELECT s.doc_id, max(amount / greatest(n_chars, 1) / {limit}) AS worst FROM s JOIN d ON s.doc_id = d.doc_id GROUP BY s.doc_id),
+p AS (SELECT doc_id, n_chars AS n, [x FOR x IN regexp_split_to_array(trim(text), '\\n+') IF x <> ''] AS lines, [x FOR x IN regexp_split_to_array(trim(text), '\\n{{2,}}') IF x <> ''] AS paragraphs FROM d)
+SELECT p.doc_id, round(greatest({part("lines")}, {part("paragraphs")}, coalesce(worst, 0)), 6) AS worst FROM p LEFT JOIN r ON p.doc_id = r.doc_id"""
+
+
+@query(_repetition())
 def recipe_gopher_repetition(spark, sf):
     return recipes.repetition_shares(docs(spark, sf)).select("doc_id", F.round("worst", 6).alias("worst"))
 
 
-@query()
+@query(f"""WITH {D}, l AS (SELECT doc_id, text, [trim(x) FOR x IN string_split(text, chr(10)) IF regexp_matches(rtrim(x), '[.?!"\'\']$') AND NOT regexp_matches(rtrim(x), '\\.\\.\\.$') AND len(regexp_extract_all(x, '\\S+')) >= 5 AND NOT contains(lower(x), 'javascript')] AS kept FROM d),
+c AS (SELECT doc_id, text, array_to_string(kept, chr(10)) AS clean FROM l)
+SELECT doc_id, CAST(length(clean) AS INTEGER) AS n_chars FROM c WHERE len(regexp_extract_all(clean, '[.!?]+["\'\')\\]]*(\\s|$)')) >= 3 AND NOT contains(lower(text), 'lorem ipsum') AND NOT contains(text, '{{')""")
 def recipe_c4_lines(spark, sf):
     return recipes.c4_lines(docs(spark, sf)).select("doc_id", F.length("text").alias("n_chars"))
 
@@ -708,8 +729,19 @@ def flagship(spark, sf):
     return _decon(spark, sf, q.where(fl.CHARACTERS >= 100), q.Dedupe()).origins()
 
 
+_prepared: dict[tuple[str, str], DataFrame] = {}
+
+
+def prepared(spark: SparkSession, sf: str) -> DataFrame:
+    """The population's columns without texts, prepared once a session and clustered by length."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _prepared:
+        _prepared[key] = prepare(docs(spark, sf), Scratch(spark, "prepared").at("columns"), cluster_by=["n_chars"])
+    return _prepared[key]
+
+
 def _filtered(spark, sf, *tests) -> DataFrame:
-    kept = q.Query(docs(spark, sf), tuple(map(q.where, tests))).rows()
+    kept = q.Query(prepared(spark, sf), tuple(map(q.where, tests))).rows()
     out = pf.numeric(kept, ["n_bytes", "n_chars", "quality", "toxic"])
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "deviation")})
 
@@ -730,3 +762,20 @@ def profile_filtered_half(spark, sf):
 @query(f"WITH {D.replace('d AS (', 'd0 AS (', 1)}, d AS (SELECT * FROM d0 WHERE n_chars >= 100) {_PROFILED}")
 def profile_filtered_broad(spark, sf):
     return _filtered(spark, sf, fl.CHARACTERS >= 100)
+
+
+@query(f"WITH {D.replace('d AS (', 'd0 AS (', 1)}, d AS (SELECT * FROM d0 WHERE n_chars >= 500 AND n_chars < 700) {_PROFILED}")
+def profile_filtered_medium(spark, sf):
+    return _filtered(spark, sf, fl.CHARACTERS >= 500, fl.CHARACTERS < 700)
+
+
+@query(f"WITH {D} SELECT doc_id, corpus_id, source_key, n_bytes, n_chars, CAST(0 AS BIGINT) AS occurrence, lang, quality FROM d WHERE n_chars >= 1000")
+def query_projection(spark, sf):
+    """Fields that no filter uses come along."""
+    return q.Query(docs(spark, sf), (q.where(fl.CHARACTERS >= 1000),), fields=("lang", "quality")).projected()
+
+
+@query(f"WITH {D} SELECT 0 AS candidate, corpus_id AS label, sum(n_bytes) / (SELECT sum(n_bytes) FROM d) AS weight, CAST(sum(n_bytes) AS BIGINT) AS tokens FROM d GROUP BY corpus_id")
+def mix_profile(spark, sf):
+    """A mixture without weights or budget passes everything through."""
+    return mx.Mixture(docs(spark, sf), F.col("corpus_id"), F.col("n_bytes")).profile()

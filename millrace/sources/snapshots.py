@@ -40,13 +40,19 @@ class Catalog:
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
     def _write(self, path: str, value: dict) -> None:
+        """Whole or not at all: written aside, then renamed. A pointer that a crash took away between is found aside."""
         p, fs = self._fs(path)
-        out = fs.create(p, True)
+        aside, _ = self._fs(f"{path}.new")
+        out = fs.create(aside, True)
         out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         out.close()
+        fs.delete(p, False)
+        if not fs.rename(aside, p):
+            raise OSError(f"{path} can't be put in place")
 
     def _read(self, path: str) -> dict:
-        return json.loads(self.spark.read.text(path, wholetext=True).first()["value"])
+        p, fs = self._fs(path)
+        return json.loads(self.spark.read.text(path if fs.exists(p) else f"{path}.new", wholetext=True).first()["value"])
 
     def corpora(self) -> list[str]:
         return self._names(f"{self.root}/corpora")
@@ -57,7 +63,7 @@ class Catalog:
         return self._read(f"{self.root}/corpora/{name}/latest.json")["snapshot"]
 
     def snapshots(self, name: str) -> list[dict]:
-        found = [x for x in self._names(f"{self.root}/corpora/{name}") if x != "latest.json"]
+        found = [x for x in self._names(f"{self.root}/corpora/{name}") if not x.startswith("latest.json")]
         return [self.manifest(name, x) for x in found if "manifest.json" in self._names(f"{self.root}/corpora/{name}/{x}")]
 
     def manifest(self, name: str, snapshot: str | None = None) -> dict:
