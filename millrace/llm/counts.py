@@ -1,7 +1,7 @@
 """Edit-aware token counts: a segment tree over the pre-tokens of each document.
 
 A text is cut into pre-tokens by the tokenizer's pattern, and byte-pair encoding never crosses them, so a document's count
-is a sum. The leaves of its tree hold LEAF pre-tokens each with their lengths and counts, and inner nodes hold sums. An edit
+is a sum. The leaves of its tree hold some LEAF pre-tokens and the count of each, and inner nodes hold sums of lengths and counts. An edit
 finds its place by descending the tree by lengths, re-cuts text from a little before (the pattern looks one character
 ahead) until a new boundary falls on an old one, counts only the new pre-tokens, and updates the sums on the paths.
 
@@ -54,69 +54,108 @@ class Counter:
         return len(self.whole.encode_ordinary(text)) if text else 0
 
 
+class _Node:
+    """An inner node with two children, or a leaf with pre-tokens and their counts; leaves are linked in order."""
+
+    __slots__ = ("up", "left", "right", "chars", "tokens", "leaves", "pieces", "counts", "before", "after")
+
+    def __init__(self, pieces: list[str] | None = None, counts: list[int] | None = None):
+        self.up = self.left = self.right = self.before = self.after = None
+        self.leaves = 1
+        if pieces is not None:
+            self.fill(pieces, counts)
+
+    def fill(self, pieces: list[str], counts: list[int]) -> None:
+        self.pieces, self.counts = pieces, counts
+        self.chars, self.tokens = sum(map(len, pieces)), sum(counts)
+
+    def sum(self) -> None:
+        a, b = self.left, self.right
+        self.chars, self.tokens, self.leaves = a.chars + b.chars, a.tokens + b.tokens, a.leaves + b.leaves
+
+
 class TokenTree:
-    """length, tokens and counted (pre-tokens encoded so far) of a text that can be edited."""
+    """length, tokens and counted (pre-tokens encoded so far) of a text that can be edited.
+
+    Only the pre-tokens of the region that an edit changes are encoded. A leaf that grows is split, an empty one is removed, and where
+    one side of a node has far more leaves than the other its leaves are joined anew, by sums alone; so depth stays logarithmic.
+    """
 
     def __init__(self, text: str | None, counter: Counter):
-        self.counter, self.counted = counter, 0
-        self._build(counter.cut.findall(text or ""))
-
-    def _build(self, pieces: list[str]) -> None:
-        self.leaves = [pieces[k : k + LEAF] for k in range(0, len(pieces), LEAF)] or [[]]
-        self.size = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars, self.sums = [0] * (2 * self.size), [0] * (2 * self.size)
-        self.pieces = len(pieces)
-        count = self.counter.count
-        for k, leaf in enumerate(self.leaves):
-            self.chars[self.size + k] = sum(map(len, leaf))
-            self.sums[self.size + k] = sum(map(count, leaf))
-        self.counted += len(pieces)
-        for k in range(self.size - 1, 0, -1):
-            self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
-            self.sums[k] = self.sums[2 * k] + self.sums[2 * k + 1]
+        self.counter = counter
+        pieces = counter.cut.findall(text or "")
+        counts = list(map(counter.count, pieces))
+        self.counted = len(pieces)
+        leaves = self._leaves(pieces, counts)
+        self.first, self.root = leaves[0], self._joined(leaves)
+
+    @staticmethod
+    def _leaves(pieces: list[str], counts: list[int]) -> list[_Node]:
+        """Leaves of LEAF pre-tokens, linked with each other; one empty leaf for none."""
+        out = [_Node(pieces[k : k + LEAF], counts[k : k + LEAF]) for k in range(0, max(1, len(pieces)), LEAF)]
+        for a, b in zip(out[:-1], out[1:], strict=True):
+            a.after, b.before = b, a
+        return out
+
+    def _joined(self, leaves: list[_Node]) -> _Node:
+        """A balanced tree over leaves."""
+        if len(leaves) == 1:
+            leaves[0].up = None
+            return leaves[0]
+        node, half = _Node(), len(leaves) // 2
+        node.left, node.right = self._joined(leaves[:half]), self._joined(leaves[half:])
+        node.left.up = node.right.up = node
+        node.sum()
+        return node
 
     @property
     def tokens(self) -> int:
-        return self.sums[1]
+        return self.root.tokens
 
     @property
     def length(self) -> int:
-        return self.chars[1]
+        return self.root.chars
+
+    def _each(self) -> Iterator[_Node]:
+        leaf = self.first
+        while leaf:
+            yield leaf
+            leaf = leaf.after
 
     def text(self) -> str:
-        return "".join("".join(leaf) for leaf in self.leaves)
+        return "".join(p for leaf in self._each() for p in leaf.pieces)
 
-    def _leaf_at(self, place: int) -> tuple[int, int]:
+    def _leaf_at(self, place: int) -> tuple[_Node, int]:
         """The leaf of a code point and where it begins; the last leaf with text for the end."""
-        node, begin = 1, 0
-        while node < self.size:
-            node *= 2
-            if place - begin >= self.chars[node] and self.chars[node + 1]:
-                begin += self.chars[node]
-                node += 1
-        return node - self.size, begin
+        node, begin = self.root, 0
+        while node.left:
+            if place - begin >= node.left.chars and node.right.chars:
+                begin += node.left.chars
+                node = node.right
+            else:
+                node = node.left
+        return node, begin
 
     def edit(self, start: int, end: int, new: str) -> None:
         start = min(max(0, start), self.length)
         end = min(max(start, end), self.length)
         # From two pre-tokens before the edit: one may grow, and the one before it looks a character ahead.
         first, begin = self._leaf_at(max(0, start - 1))
-        while first and not self._back(first, begin, start):
-            first -= 1
-            begin -= self.chars[self.size + first]
+        while first.before and not self._back(first, begin, start):
+            first = first.before
+            begin -= first.chars
         keep, offset = self._back(first, begin, start) or (0, begin)
-        head = self.leaves[first][:keep]
         # The old pre-tokens that the edit touches, and then as many as it takes to meet an old boundary again.
         leaf, k, at, old = first, keep, offset, []
 
         def more() -> bool:
             nonlocal leaf, k, at
-            while leaf < len(self.leaves) and k >= len(self.leaves[leaf]):
-                leaf, k = leaf + 1, 0
-            if leaf == len(self.leaves):
+            while leaf and k >= len(leaf.pieces):
+                leaf, k = leaf.after, 0
+            if not leaf:
                 return False
-            old.append(self.leaves[leaf][k])
-            at += len(old[-1])
+            old.append((leaf, k))
+            at += len(leaf.pieces[k])
             k += 1
             return True
 
@@ -127,60 +166,108 @@ class TokenTree:
             alive = True
             for _ in range(step):
                 alive = alive and more()
-            was = "".join(old)
-            now = was[: start - offset] + new + was[end - offset :]
-            pieces, shift = self.counter.cut.findall(now), len(new) - (end - start)
+            was = [x.pieces[j] for x, j in old]
+            joined = "".join(was)
+            pieces, shift = self.counter.cut.findall(joined[: start - offset] + new + joined[end - offset :]), len(new) - (end - start)
             if not alive:
                 break
             # The text goes on, so the last pre-tokens may yet change; boundaries well before its end are final.
             ends, place = {}, offset
-            for j, p in enumerate(old):
+            for j, p in enumerate(was):
                 place += len(p)
                 ends[place] = j
             place, met = offset, None
             for j, p in enumerate(pieces[:-2]):
                 place += len(p)
-                if place - shift > end and place - shift in ends and ends[place - shift] < len(old) - 1:
+                if place - shift > end and ends.get(place - shift, len(was)) < len(was) - 1:
                     met = (j + 1, ends[place - shift] + 1)
                     break
             if met:
-                surplus = len(old) - met[1]
-                pieces = pieces[: met[0]]
-                for _ in range(surplus):
-                    k -= 1
-                    while k < 0:
-                        leaf -= 1
-                        k = len(self.leaves[leaf]) - 1
+                pieces, (leaf, k) = pieces[: met[0]], old[met[1]]
                 break
             step *= 2
+        counts = list(map(self.counter.count, pieces))
         self.counted += len(pieces)
-        tail = self.leaves[leaf][k:] if leaf < len(self.leaves) else []
-        last = min(leaf, len(self.leaves) - 1)
-        for j in range(first, last + 1):
-            self._set(j, head + pieces + (tail if last == leaf else []) if j == first else [])
-        if len(self.leaves[first]) > 64 * LEAF:
-            self._build([p for x in self.leaves for p in x])
-
-    def _back(self, leaf: int, begin: int, start: int) -> tuple[int, int] | None:
+        pieces, counts = first.pieces[:keep] + pieces, first.counts[:keep] + counts
+        if leaf:
+            pieces, counts = pieces + leaf.pieces[k:], counts + leaf.counts[k:]
+        if leaf is not first:  # all leaves from the first to this one become one
+            gone, stop = first.after, leaf.after if leaf else None
+            while gone is not stop:
+                gone, nothing = gone.after, gone
+                self._removed(nothing)
+        self._set(first, pieces, counts)
+
+    def _back(self, leaf: _Node, begin: int, start: int) -> tuple[int, int] | None:
         """In a leaf, the pre-token two before the first that ends at or after start, and where it begins; none if it is further back."""
         ends, place = [], begin
-        for p in self.leaves[leaf]:
+        for p in leaf.pieces:
             place += len(p)
             ends.append(place)
         before = sum(e < start for e in ends)
         if before >= 2:
             keep = before - 2
             return keep, begin if keep == 0 else ends[keep - 1]
-        return (0, begin) if leaf == 0 else None
-
-    def _set(self, leaf: int, pieces: list[str]) -> None:
-        self.leaves[leaf] = pieces
-        node = self.size + leaf
-        self.chars[node], self.sums[node] = sum(map(len, pieces)), sum(map(self.counter.count, pieces))
-        while node > 1:
-            node //= 2
-            self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
-            self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
+        return None if leaf.before else (0, begin)
+
+    def _put(self, old: _Node, new: _Node) -> None:
+        """new in the place of old below old's parent."""
+        up = new.up = old.up
+        if not up:
+            self.root = new
+        elif up.left is old:
+            up.left = new
+        else:
+            up.right = new
+
+    def _removed(self, leaf: _Node) -> None:
+        """Take a leaf that isn't the only one out of the tree."""
+        if leaf.before:
+            leaf.before.after = leaf.after
+        else:
+            self.first = leaf.after
+        if leaf.after:
+            leaf.after.before = leaf.before
+        other = leaf.up.right if leaf.up.left is leaf else leaf.up.left
+        self._put(leaf.up, other)
+        self._summed(other.up)
+
+    def _set(self, leaf: _Node, pieces: list[str], counts: list[int]) -> None:
+        if not pieces and (leaf.before or leaf.after):
+            self._removed(leaf)
+            return
+        if len(pieces) <= 2 * LEAF:
+            leaf.fill(pieces, counts)
+            self._summed(leaf.up)
+            return
+        parts = self._leaves(pieces, counts)
+        parts[0].before, parts[-1].after = leaf.before, leaf.after
+        if leaf.before:
+            leaf.before.after = parts[0]
+        else:
+            self.first = parts[0]
+        if leaf.after:
+            leaf.after.before = parts[-1]
+        node = self._joined(parts)
+        self._put(leaf, node)
+        self._summed(node.up)
+
+    def _summed(self, node: _Node | None) -> None:
+        """New sums from a node to the root; the highest node out of balance is joined anew."""
+        uneven = None
+        while node:
+            node.sum()
+            if max(node.left.leaves, node.right.leaves) > 3 + 0.7 * node.leaves:
+                uneven = node
+            node = node.up
+        if uneven:
+            leaf = uneven
+            while leaf.left:
+                leaf = leaf.left
+            leaves = [leaf]
+            while len(leaves) < uneven.leaves:
+                leaves.append(leaves[-1].after)
+            self._put(uneven, self._joined(leaves))
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:

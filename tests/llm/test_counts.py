@@ -36,6 +36,24 @@ def test_an_edit_touches_few_pre_tokens():
     assert tree.tokens == COUNTER(tree.text())
 
 
+def test_an_edit_encodes_its_region_only_and_depth_stays_low(monkeypatch):
+    """As many calls as are reported, however often one place is edited; trees stay balanced and linked."""
+    tree, calls = ct.TokenTree("word and another " * 4000, COUNTER), []
+    count = ct.Counter.count
+    monkeypatch.setattr(ct.Counter, "count", lambda self, piece: calls.append(piece) or count(self, piece))
+    before = tree.counted
+    for _ in range(2000):
+        tree.edit(30_000, 30_000, " more")
+    assert len(calls) == tree.counted - before < 2000 * 8
+    tree.edit(10, 60_000, "")
+    depth = lambda n: 1 + max(depth(n.left), depth(n.right)) if n.left else 1
+    leaves = list(tree._each())
+    assert len(leaves) == tree.root.leaves and depth(tree.root) <= 3 * len(leaves).bit_length() + 4
+    assert all(a.after is b and b.before is a for a, b in zip(leaves[:-1], leaves[1:]))
+    monkeypatch.undo()
+    assert tree.tokens == COUNTER(tree.text())
+
+
 def edited(text):
     n = len(text)
     text = text[: n // 3] + " inserted" + text[n // 3 :]
