@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, fresh, pick, table
+from millrace.llm.common import Scratch, by_ids, fresh, pick, table
 from millrace.llm.filters import Bloom, passes
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -188,23 +188,23 @@ def _decided(found: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without the rows that exact_dedup drops; of the rows of an equal text with the id that stays, one stays. Rows without an id stay.
 
-    Decisions go by (id, digest), so another text of the same id isn't touched. Rows that a filter over the digests of groups rejects
-    are kept where they are; only the others are shuffled.
+    Where ids are distinct, decisions go by id. Rows of an id that several rows have are decided on by (id, digest), so another text of
+    the id isn't touched; only those rows are hashed again.
     """
     scratch = Scratch(docs.sparkSession, "exact-kept")
-    found = scratch.keep(exact_dedup(docs, text, doc_id).where("group_size > 1").select("doc_id", "kept", F.unhex("text_sha256").alias("digest")), "found")
-    if found.isEmpty():
-        return docs
-    stay = scratch.keep(found.where("kept").select("digest", "doc_id").distinct(), "stay")
-    here, there, ident = fresh(docs, "_digest"), fresh(docs, "_group"), fresh(docs, "_ident")
-    digest = F.unhex(F.sha2(F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), WHITE, ""), 256))
-    may = passes(stay.select("digest"))(digest) & F.col(f"`{doc_id}`").isNotNull()
-    # Of the rows of groups, those with the id that stays, once each; and those that passed the filter in vain.
-    groups = stay.toDF(there, ident)
-    joined = docs.where(may).withColumn(here, digest).join(groups.hint("merge"), F.col(here) == F.col(there), "left")
-    vain = joined.where(F.col(there).isNull()).select(*docs.columns)
-    own = joined.where(F.col(there).isNotNull() & (F.col(f"`{doc_id}`").cast("long") == F.col(ident))).dropDuplicates([there, ident])
-    return docs.where(~may).unionByName(vain).unionByName(own.select(*docs.columns))
+    found = scratch.keep(exact_dedup(docs, text, doc_id).where("doc_id is not null").select("doc_id", "kept", F.unhex("text_sha256").alias("digest")), "found")
+    twice = scratch.keep(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    several = not twice.isEmpty()
+    lost = found.where("not kept").select("doc_id")
+    lost = scratch.keep(lost.unionByName(twice).distinct() if several else lost, "lost")
+    once = by_ids(docs, lost, doc_id, "left_anti")
+    if not several:
+        return once
+    rows, here, ident, there = by_ids(docs, twice, doc_id, "left_semi"), fresh(docs, "_digest"), fresh(docs, "_ident"), fresh(docs, "_group")
+    rows = rows.withColumn(here, F.unhex(F.sha2(F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), WHITE, ""), 256)))
+    stay = found.where("kept").select("doc_id", "digest").join(twice, "doc_id", "left_semi").distinct().toDF(ident, there)
+    own = rows.join(stay.hint("merge"), (F.col(f"`{doc_id}`").cast("long") == F.col(ident)) & (F.col(here) == F.col(there)))
+    return once.unionByName(own.dropDuplicates([ident, there]).select(*docs.columns))
 
 
 def digest_of(text: str | None) -> bytes:
