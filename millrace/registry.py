@@ -775,7 +775,7 @@ def query_projection(spark, sf):
     return q.Query(docs(spark, sf), (q.where(fl.CHARACTERS >= 1000),), fields=("lang", "quality")).projected()
 
 
-@query(f"WITH {D} SELECT 0 AS candidate, corpus_id AS label, sum(n_bytes) / (SELECT sum(n_bytes) FROM d) AS weight, CAST(sum(n_bytes) AS BIGINT) AS tokens FROM d GROUP BY corpus_id")
+@query(f"WITH {D} SELECT 0 AS candidate, corpus_id AS label, round(sum(n_bytes) / (SELECT sum(n_bytes) FROM d), 6) AS weight, CAST(sum(n_bytes) AS BIGINT) AS tokens FROM d GROUP BY corpus_id")
 def mix_profile(spark, sf):
     """A mixture without weights or budget passes everything through."""
-    return mx.Mixture(docs(spark, sf), F.col("corpus_id"), F.col("n_bytes")).profile()
+    return mx.Mixture(docs(spark, sf), F.col("corpus_id"), F.col("n_bytes")).profile().withColumn("weight", F.round("weight", 6))
