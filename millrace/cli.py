@@ -1,4 +1,4 @@
-"""python -m millrace.cli ROOT corpora | profile NAME | preview NAME [--json]: a look at captured corpora."""
+"""python -m millrace.cli ROOT corpora | queries | mixtures | datasets | executions | profile NAME | preview NAME [--json]: a look at captured corpora."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import json
 
 from pyspark.sql import SparkSession
 
-from millrace.sources.snapshots import Catalog
+from millrace.sources.snapshots import RECORDS, Catalog
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -15,13 +15,16 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("root")
     p.add_argument("--json", action="store_true")
     sub = p.add_subparsers(dest="what", required=True)
-    sub.add_parser("corpora")
+    for name in ("corpora", *RECORDS):
+        sub.add_parser(name)
     for name in ("profile", "snapshots", "preview"):
         sub.add_parser(name).add_argument("name")
     a = p.parse_args(args)
     catalog = Catalog(spark or SparkSession.builder.getOrCreate(), a.root)
     if a.what == "corpora":
         rows = [{"corpus": c, "snapshot": catalog.latest(c)} for c in catalog.corpora()]
+    elif a.what in RECORDS:
+        rows = catalog.listing(a.what, 1000)
     elif a.what == "preview":
         rows = [{"source_key": r["source_key"], "text": r["text"][:200]} for r in catalog.open(a.name).orderBy("source_key").limit(10).collect()]
     else:

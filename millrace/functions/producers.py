@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.model import ranked
+from millrace.scratch import Scratch
 
 # The punctuation that counts, and common English words.
 PUNCTUATION = "!/—”:％１〈&(、━\\【#%「」，】；+^]~“《„';’{|∶´[=-`*．（–？！：$～«〉,><》)?）。…@_.\"}►»"
@@ -97,3 +99,15 @@ def windowed_mean(windows: Column) -> Column:
     """The mean of struct(score, weight) by weight; null without weight."""
     total = F.aggregate(windows, F.lit(0.0), lambda a, w: a + w["weight"])
     return F.aggregate(windows, F.lit(0.0), lambda a, w: a + w["score"] * w["weight"]) / F.when(total > 0, total)
+
+
+def in_cohorts(docs: DataFrame, key: str, compute: Callable[[pd.DataFrame], pd.DataFrame], schema: str, size: int = 64) -> DataFrame:
+    """compute over fixed cohorts of `size` documents in order of key, for models whose values depend on what shares their batch.
+
+    Cohorts come from ranks, so they are the same however rows are partitioned; the last may be smaller. compute sees a cohort's
+    rows in that order, with `cohort`.
+    """
+    if size < 1:
+        raise ValueError("a cohort has one document at least")
+    placed = ranked(docs, [F.col(key)], Scratch(docs.sparkSession, "cohorts"), "_rank").withColumn("cohort", F.floor(F.col("_rank") / size))
+    return placed.groupBy("cohort").applyInPandas(lambda rows: compute(rows.sort_values("_rank").drop(columns="_rank")), schema)

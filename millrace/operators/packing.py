@@ -6,7 +6,9 @@ the sequences it touches, and only pieces are shuffled.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass, replace
+from dataclasses import fields as dataclass_fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +70,16 @@ def geometry(kept: DataFrame, plan: Concat, output: int) -> DataFrame:
     return each.groupBy("documents").agg(F.count("*").alias("sequences"))
 
 
+def crossings(kept: DataFrame, plan: Concat, output: int) -> DataFrame:
+    """One row: crossing, the number of sequences that hold a boundary between documents (two of them at least)."""
+    return geometry(kept, plan, output).agg(F.coalesce(F.sum(F.when(F.col("documents") > 1, F.col("sequences"))), F.lit(0)).cast("long").alias("crossing"))
+
+
+def source_tokens(kept: DataFrame, sources: DataFrame, column: str = "corpus_id") -> DataFrame:
+    """column, tokens: the content tokens that are emitted, by source; a source all of whose tokens are dropped has none."""
+    return kept.join(sources.select("doc_id", column), "doc_id").groupBy(column).agg(F.sum("emitted").cast("long").alias("tokens"))
+
+
 def sequences(kept: DataFrame, tokens: DataFrame, plan: Concat, output: int) -> DataFrame:
     """sequence, tokens, loss_mask, regions (start, end, kind, doc_id, offset) of every whole sequence.
 
@@ -94,6 +106,20 @@ def sequences(kept: DataFrame, tokens: DataFrame, plan: Concat, output: int) ->
     return whole.select("sequence", ids.alias("tokens"), F.concat(F.array_repeat(F.lit(1), filled), F.array_repeat(F.lit(0), pad.cast("int"))).alias("loss_mask"), regions.alias("regions"))
 
 
+def preview(kept: DataFrame, docs: DataFrame, tokenizer, plan: Concat, output: int, limit: int = 10, max_tokens: int = 256) -> DataFrame:
+    """sequence, tokens (the first max_tokens), text (those in readable form), truncated; only documents of the prefix are encoded."""
+    if not 0 < limit <= 1000 or not 0 < max_tokens <= 1_000_000:
+        raise ValueError("a preview has at most 1000 sequences of at most a million tokens")
+    end = min(output, limit * plan.length)
+    if not end:
+        end, kept = 0, kept.where("false")
+    prefix = kept.where(F.col("start") < end).withColumn("emitted", F.greatest(F.lit(0), F.least("emitted", F.lit(end) - F.col("start"))))
+    encoded = tokenizer.encode(docs.join(prefix.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")).select("doc_id", "tokens")
+    first = sequences(prefix, encoded, plan, end).select("sequence", F.slice("tokens", 1, max_tokens).alias("tokens"), (F.size("tokens") > max_tokens).alias("truncated"))
+    readable = F.udf(lambda ids: tokenizer.readable(ids, plan.separator, plan.padding), "string")  # at most 1000 rows
+    return first.withColumn("text", readable("tokens"))
+
+
 def batches(packed: DataFrame) -> DataFrame:
     """input_ids, attention_mask, labels (-100 where nothing is learned)."""
     labels = F.transform(F.arrays_zip("tokens", "loss_mask"), lambda x: F.when(x["loss_mask"] == 1, x["tokens"]).otherwise(-100))
@@ -108,6 +134,45 @@ def reader(packed: DataFrame, rank: int, world: int, worker: int = 0, workers: i
     return packed.where((F.col("sequence") % stride == rank * workers + worker) & (F.col("sequence") >= start))
 
 
+@dataclass(frozen=True)
+class Checkpoint:
+    """Where one reader of a packed dataset stands: the dataset's identity, its share, and the next sequence it hasn't had."""
+
+    dataset: str
+    rank: int = 0
+    world: int = 1
+    worker: int = 0
+    workers: int = 1
+    next: int = 0
+
+    def __post_init__(self):
+        numbers = (self.rank, self.world, self.worker, self.workers, self.next)
+        if any(type(x) is not int for x in numbers) or not (0 <= self.rank < self.world and 0 <= self.worker < self.workers and self.next >= 0):
+            raise ValueError("rank and worker lie within their numbers, and the place isn't negative")
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), sort_keys=True)
+
+    @classmethod
+    def from_json(cls, text: str, dataset: str) -> Checkpoint:
+        """Of the same dataset, or an error; so is a document with other entries."""
+        held = json.loads(text)
+        if not isinstance(held, dict) or set(held) != {f.name for f in dataclass_fields(cls)}:
+            raise ValueError("no reader's checkpoint")
+        if held["dataset"] != dataset:
+            raise ValueError(f"a checkpoint of {held['dataset']!r}, not of {dataset!r}")
+        return cls(**held)
+
+    def rest(self, packed: DataFrame) -> DataFrame:
+        return reader(packed, self.rank, self.world, self.worker, self.workers, self.next)
+
+    def after(self, sequence: int) -> Checkpoint:
+        """The checkpoint once that sequence has been had."""
+        if sequence % (self.world * self.workers) != self.rank * self.workers + self.worker or sequence < self.next:
+            raise ValueError(f"sequence {sequence} isn't one of this reader's next")
+        return replace(self, next=sequence + 1)
+
+
 def window(packed: DataFrame, first: int, end: int) -> DataFrame:
     """A half-open range of parent ordinals, numbered anew."""
     return packed.where((F.col("sequence") >= first) & (F.col("sequence") < end)).withColumn("sequence", F.col("sequence") - first)

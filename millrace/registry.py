@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import fields as fl
 from millrace.functions import producers, recipes
 from millrace.functions import text as T
-from millrace.model import population, union
+from millrace.model import population, ranked, union
 from millrace.operators import decontaminate as dc
 from millrace.operators import dedupe as dd
 from millrace.operators import mixing as mx
@@ -21,8 +21,9 @@ from millrace.operators import similarity as si
 from millrace.operators import tokens as tk
 from millrace.plans import query as q
 from millrace.scratch import Scratch
+from millrace.sources import readers, sinks
 from millrace.sources.prepared import prepare
-from millrace.sources.snapshots import changes
+from millrace.sources.snapshots import Catalog, changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -779,3 +780,254 @@ def query_projection(spark, sf):
 def mix_profile(spark, sf):
     """A mixture without weights or budget passes everything through."""
     return mx.Mixture(docs(spark, sf), F.col("corpus_id"), F.col("n_bytes")).profile().withColumn("weight", F.round("weight", 6))
+
+
+# Sources, catalog and sinks: written to scratch tables and read back
+
+
+def _pairs(spark, sf) -> DataFrame:
+    return docs(spark, sf).select("source_key", "text")
+
+
+@query(f"WITH {D} SELECT 'in/' || source_key AS source_key, content FROM d")
+def source_jsonl(spark, sf):
+    """Documents as JSON lines in gzip, read back with their own keys."""
+    at = Scratch(spark, "jsonl-source").at("lines")
+    _pairs(spark, sf).write.option("compression", "gzip").json(at)
+    return readers.from_jsonl(spark, at, key_column="source_key", prefix="in/").select("source_key", F.sha2("text", 256).alias("content"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS source_key, n_name || chr(10) AS text FROM nation")
+def source_files(spark, sf):
+    """A directory of text files, a document a file; the key is the path."""
+    at = Scratch(spark, "files-source").at("nation")
+    read(spark, sf, "nation").select(F.col("n_name").alias("value"), "n_nationkey").repartition(1).write.partitionBy("n_nationkey").text(at)
+    return readers.from_files(spark, at, "*.txt").select(F.regexp_extract("source_key", r"^n_nationkey=(\d+)/", 1).alias("source_key"), "text")
+
+
+@query("SELECT 'hf://corpus/default/train/' || vec_id AS source_key, CAST(vec_id AS VARCHAR) AS text FROM embeddings")
+def source_table(spark, sf):
+    """Rows of another reader with keys by a template."""
+    rows = read(spark, sf, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("text"))
+    return readers.from_table(rows, "vec_id", template="hf://corpus/default/train/{}")
+
+
+@query("SELECT '13:conversations:' || conv_id || '/' || turn AS source_key, sha256(text) AS content FROM conversations")
+def source_namespace(spark, sf):
+    rows = read(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
+    return readers.from_namespace(rows, "conversations").select("source_key", F.sha2("text", 256).alias("content"))
+
+
+@query(f"WITH {D} SELECT source_key, content FROM d ORDER BY source_key LIMIT 100")
+def source_first(spark, sf):
+    """A capture's limit: the first hundred by key."""
+    return readers.first(_pairs(spark, sf), 100).select("source_key", F.sha2("text", 256).alias("content"))
+
+
+@query(f"WITH {D} SELECT 'corpus' AS corpus_id, source_key, content, n_bytes, n_chars, CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS n_lines FROM d")
+def snapshot_reopen(spark, sf):
+    """What a capture stored, opened by its name."""
+    catalog = Catalog(spark, Scratch(spark, "catalog").at("root"))
+    return catalog.open("corpus", catalog.capture("corpus", _pairs(spark, sf))).drop("doc_id", "text")
+
+
+@query("""WITH p AS (SELECT 'conversations' AS corpus, text FROM conversations UNION ALL SELECT 'documents', coalesce(text, '') FROM documents) SELECT corpus, count(*) AS documents, CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(*) AS added FROM p GROUP BY corpus""")
+def catalog_listing(spark, sf):
+    """Captured corpora with their counts."""
+    catalog = Catalog(spark, Scratch(spark, "catalog").at("root"))
+    catalog.capture("documents", _pairs(spark, sf))
+    catalog.capture("conversations", readers.from_table(read(spark, sf, "conversations").withColumn("key", F.concat_ws("/", "conv_id", "turn")), "key"))
+    rows = [(m["corpus"], m["documents"], m["bytes"], m["added"]) for m in catalog.listing("corpora")]
+    return spark.createDataFrame(rows, "corpus string, documents long, bytes long, added long")
+
+
+_SHARDS = f"WITH {D}, k AS (SELECT * FROM d WHERE n_chars >= 100), o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, sum(n_bytes) OVER (ORDER BY doc_id) - n_bytes AS before, text, n_chars FROM k)"
+
+
+def _stored(spark, sf) -> str:
+    at = Scratch(spark, "selection-sink").at("selection")
+    sinks.write_selection(q.Query(docs(spark, sf), (q.where(fl.CHARACTERS >= 100),)).rows(), at, 100_000)
+    return at
+
+
+@query(_SHARDS + " SELECT doc_id, ordinal, CAST(before // 100000 AS BIGINT) AS shard FROM o")
+def sink_selection(spark, sf):
+    """A selection in shards of 100,000 bytes, read back."""
+    return sinks.read_selection(spark, _stored(spark, sf)).select("doc_id", "ordinal", "shard")
+
+
+@query(_SHARDS + " SELECT ordinal, doc_id, CAST(before // 100000 AS BIGINT) AS shard, text[1:1000] AS text, n_chars > 1000 AS truncated FROM o WHERE ordinal < 1000")
+def sink_selection_preview(spark, sf):
+    return sinks.read_preview(spark, _stored(spark, sf))
+
+
+@query(f"WITH {D}, w AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS kept FROM d) " + _LINEAGE.format(kind="duplicate"))
+def sink_lineage(spark, sf):
+    """Every decision as JSON lines, read back."""
+    at, made = Scratch(spark, "lineage-sink").at("lineage"), q.Query(docs(spark, sf), (q.Dedupe(),)).lineage()
+    sinks.write_lineage(made, at)
+    return spark.read.schema(made.schema).json(at)
+
+
+@query(f"WITH {_OCC}, s AS (SELECT unnest(range((SELECT total // 512 FROM t))) AS sequence) SELECT sequence, CAST(2048 AS BIGINT) AS data_bytes, CAST(512 AS BIGINT) AS mask_bytes, true AS intact FROM s")
+def sink_token_shards(spark, sf):
+    """Sequences as 32-bit words and masks; every digest is that of its bytes."""
+    at = Scratch(spark, "shards-sink").at("shards")
+    sinks.write_shards(_packed(spark, sf, pk.Concat(512, 256)), at)
+    s = spark.read.parquet(at)
+    return s.select("sequence", F.octet_length("data").cast("long").alias("data_bytes"), F.octet_length("mask").cast("long").alias("mask_bytes"), (F.sha2(F.concat("data", "mask"), 256) == F.col("digest")).alias("intact"))
+
+
+# Orders, joins and cohorts
+
+
+@query(f"WITH {D} SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal FROM d WHERE lang = 'en'")
+def query_ordinals(spark, sf):
+    """Final order and ordinals of what is retained."""
+    return q.Query(docs(spark, sf), (q.where(LANG == "en"),)).numbered().select("doc_id", "ordinal")
+
+
+@query(f"WITH {D} SELECT d.doc_id, l.quality AS q, l.toxic AS t FROM d LEFT JOIN labels l USING (doc_id)")
+def field_coverage(spark, sf):
+    """Values computed elsewhere; documents without any stay, with nulls."""
+    values = read(spark, sf, "labels").select("doc_id", F.col("quality").alias("q"), F.col("toxic").alias("t"))
+    return producers.joined(docs(spark, sf).select("doc_id"), values, ("q", "t"))
+
+
+@query(f"WITH {D}, c AS (SELECT doc_id, n_chars, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS cohort FROM d) SELECT doc_id, cohort, n_chars - max(n_chars) OVER (PARTITION BY cohort) AS below FROM c")
+def field_cohorts(spark, sf):
+    """A producer whose values depend on the 64 documents of its batch."""
+    below = lambda rows: rows.assign(below=rows["n_chars"] - rows["n_chars"].max())[["doc_id", "cohort", "below"]]
+    return producers.in_cohorts(docs(spark, sf).select("doc_id", "n_chars"), "doc_id", below, "doc_id long, cohort long, below long")
+
+
+@query("WITH e AS (SELECT vec_id, [least(greatest(CAST(embedding[i] AS DOUBLE) * 8, 0), 1) FOR i IN [1, 2, 3, 4]] AS v FROM embeddings) SELECT vec_id, ['north', 'east', 'south', 'west'][list_position(v, list_max(v))] AS label FROM e")
+def field_language_label(spark, sf):
+    """Scores cut to 0 to 1; of equal ones the first."""
+    return _logits(spark, sf).select("vec_id", producers.language_label(F.col("topic"), CLASSES).alias("label"))
+
+
+@query("SELECT conv_id, round(sum(length(text) * (turn % 3)) / nullif(sum(turn % 3), 0), 6) AS mean FROM conversations GROUP BY conv_id")
+def field_windowed_mean(spark, sf):
+    """Scores of a document's windows, by weight; null where all weights are 0."""
+    window = F.struct(F.length("text").cast("double").alias("score"), (F.col("turn") % 3).cast("double").alias("weight"))
+    windows = read(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(window)).alias("w"))
+    return windows.select("conv_id", F.round(producers.windowed_mean(F.col("w")), 6).alias("mean"))
+
+
+@query(f"WITH {D} SELECT doc_id, stratum, size FROM (SELECT doc_id, '[]' AS stratum, CAST(1 AS BIGINT) AS size FROM d)")
+def sample_everything(spark, sf):
+    """A fraction of one keeps every document once."""
+    return _sample(spark, sf, "fraction", 1.0)
+
+
+# More of mixtures
+
+
+@query(f"WITH {D} SELECT CASE WHEN quality IS NULL THEN 'unlabelled' ELSE 'labelled' END AS label, count(*) AS documents, CAST(sum(n_bytes) AS BIGINT) AS tokens FROM d GROUP BY 1")
+def mix_explicit_domains(spark, sf):
+    """Domains from a table that names every document once."""
+    d = docs(spark, sf)
+    named = d.select("doc_id", F.when(F.col("quality").isNull(), "unlabelled").otherwise("labelled").alias("label"))
+    return mx.inventory(mx.assigned(d, named), F.col("label"), F.col("n_bytes"))
+
+
+@query(f"WITH {D}, {_SPLIT} SELECT doc_id, label, epoch, take FROM (SELECT d.doc_id, lang AS label, CAST(0 AS BIGINT) AS epoch, d.n_bytes AS take FROM d JOIN y ON y.doc_id = d.doc_id WHERE split = 'validation')")
+def mix_held_out(spark, sf):
+    """Validation documents once each, whatever the candidate."""
+    return _mixture(spark, sf, splits=mx.Splits()).held_out("validation").select("doc_id", "label", "epoch", "take")
+
+
+@query(f"WITH {D}, {_SPLIT} SELECT 0 AS candidate, lang AS label, round(sum(d.n_bytes) / (SELECT sum(n_bytes) FROM y WHERE split = 'train'), 6) AS weight, CAST(sum(d.n_bytes) AS BIGINT) AS tokens FROM d JOIN y ON y.doc_id = d.doc_id WHERE split = 'train' GROUP BY lang")
+def mix_train_weights(spark, sf):
+    """Natural weights and tokens of the training split alone."""
+    return _mixture(spark, sf, splits=mx.Splits()).profile().withColumn("weight", F.round("weight", 6))
+
+
+@query(f"WITH {_draw_sql(_QUARTERS, '100003')} SELECT label, CAST(0.25 AS DOUBLE) AS weight, any_value(target) AS requested, CAST(sum(take) AS BIGINT) AS realized, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM t JOIN al ON stratum = label GROUP BY label")
+def mix_candidate_view(spark, sf):
+    return _mixture(spark, sf, budget=100_003, weights=_EVEN, replacement=True)[0].profile()
+
+
+# More of tokens and packing
+
+_WORDS = '{"version": "1.0", "pre_tokenizer": {"type": "WhitespaceSplit"}, "model": {"type": "WordLevel", "vocab": {"?": 0}, "unk_token": "?"}}'
+
+
+@query(f"WITH {D}, w AS (SELECT doc_id, text, regexp_extract_all(text, '\\S+\\s*|\\s+') AS w FROM d) SELECT doc_id, CAST(len([x FOR x IN w IF regexp_matches(x, '\\S')]) AS BIGINT) AS n_tokens, CAST(list_sum([strlen(regexp_replace(x, '\\s+$', '')) FOR x IN w]) AS BIGINT) AS covered FROM w WHERE len(w) > 0")
+def tokens_json_ranges(spark, sf):
+    """A tokenizer.json of words: tokens, and the bytes that their source ranges cover."""
+    encoded = tk.JsonTokenizer(_WORDS, 1 << 30).encode(docs(spark, sf).where("n_bytes > 0").select("doc_id", "text"), ranges=True)
+    return encoded.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"]).alias("covered"))
+
+
+@query(f"WITH {_DL}, {_SPANS}, cuts AS (SELECT doc_id, CAST(sum(e - s) AS BIGINT) AS gone, CAST(sum(e * (e - 1) // 2 - s * (s - 1) // 2) AS BIGINT) AS places FROM c GROUP BY doc_id) SELECT d.doc_id, n_bytes - gone AS n_tokens, n_bytes * (n_bytes - 1) // 2 - places AS places FROM cuts JOIN d ON d.doc_id = cuts.doc_id")
+def tokens_through_cuts(spark, sf):
+    """Byte tokens of texts with spans removed, and the sum of their places in the source."""
+    cut = dc.cut_spans(docs(spark, sf), bench(spark, sf), "line")
+    encoded = tk.ByteTokenizer().encode(cut.select("doc_id", F.col("retained_text").alias("text"), F.col("ranges").alias("kept")), ranges=True)
+    places = F.aggregate(F.flatten("sources"), F.lit(0).cast("long"), lambda a, r: a + r["start"])
+    return tk.sourced(encoded).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), places.alias("places"))
+
+
+@query(f"WITH {D} SELECT doc_id, n_bytes AS n_tokens FROM d WHERE lang = 'fr'")
+def tokens_cached(spark, sf):
+    """Tokens of a selection, encoded once and read from the cache the second time."""
+    run, root = q.Query(docs(spark, sf), (q.where(LANG == "fr"),)), Scratch(spark, "token-cache").at("root")
+    tk.cached(run.rows(), tk.ByteTokenizer(), root, run.identity)
+    return tk.cached(run.rows(), tk.ByteTokenizer(), root, run.identity).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"))
+
+
+@query(f"WITH {_OCC}, n AS (SELECT total // 512 * 512 AS out FROM t), e AS (SELECT doc_id, start, least(start + size + 1, out) AS e FROM o, n), q AS (SELECT doc_id, unnest(range(CAST(start // 512 AS BIGINT), CAST((e - 1) // 512 + 1 AS BIGINT))) AS q FROM e WHERE e > start), c AS (SELECT q FROM q GROUP BY q HAVING count(DISTINCT doc_id) > 1) SELECT count(*) AS crossing FROM c")
+def pack_crossings(spark, sf):
+    """Sequences that hold a boundary between documents."""
+    plan = pk.Concat(512, 256)
+    kept, t = _placed(spark, sf, plan)
+    return pk.crossings(kept, plan, t["output"])
+
+
+@query(f"WITH {_OCC}, n AS (SELECT total // 512 * 512 AS out FROM t) SELECT corpus_id, CAST(sum(greatest(0, least(size, out - start))) AS BIGINT) AS tokens FROM o JOIN d ON d.doc_id = o.doc_id, n GROUP BY corpus_id")
+def pack_source_tokens(spark, sf):
+    """Emitted content tokens by corpus."""
+    kept, _ = _placed(spark, sf, pk.Concat(512, 256))
+    return pk.source_tokens(kept, docs(spark, sf))
+
+
+@query(f"WITH {_OCC}, s AS (SELECT unnest(range(least(8, (SELECT total // 512 FROM t)))) AS sequence) SELECT sequence, CAST(256 AS BIGINT) AS n_tokens, true AS truncated FROM s")
+def pack_preview(spark, sf):
+    """The first 256 tokens of the first eight sequences; only their documents are encoded."""
+    plan = pk.Concat(512, 256)
+    kept, t = _placed(spark, sf, plan)
+    out = pk.preview(kept, docs(spark, sf), tk.ByteTokenizer(), plan, t["output"], 8)
+    return out.select("sequence", F.size("tokens").cast("long").alias("n_tokens"), "truncated")
+
+
+@query(f"WITH {_OCC}, s AS (SELECT unnest(range((SELECT total // 512 FROM t))) AS sequence) SELECT sequence - 20 AS sequence FROM s WHERE sequence >= 20 AND sequence < 90")
+def pack_window(spark, sf):
+    """A split's window of sequences, numbered anew."""
+    return pk.window(_packed(spark, sf, pk.Concat(512, 256)), 20, 90).select("sequence")
+
+
+@query(f"WITH {_OCC}, s AS (SELECT unnest(range((SELECT total // 512 FROM t))) AS sequence) SELECT sequence, row_number() OVER (ORDER BY sha256('permute/5/' || sequence), sequence) - 1 AS place FROM s")
+def pack_permuted(spark, sf):
+    """A seeded order of the sequences."""
+    mixed = pk.permuted(_packed(spark, sf, pk.Concat(512, 256)).select("sequence"), 5)
+    return ranked(mixed, [F.col("order_key"), F.col("sequence")], Scratch(spark, "permuted"), "place").select("sequence", "place")
+
+
+@query(f"WITH {_OCC}, n AS (SELECT total // 512 AS a, (total + 1023) // 1024 AS b FROM t) SELECT sequence, CASE WHEN sequence < a THEN 512 ELSE 1024 END AS n_tokens FROM (SELECT a, unnest(range(CAST(a + b AS BIGINT))) AS sequence FROM n)")
+def pack_concatenated(spark, sf):
+    """Two packings one after another; no sequence crosses from one to the other."""
+    parts = []
+    for plan in (pk.Concat(512, 256), pk.Concat(1024, 256, 257)):
+        kept, t = _placed(spark, sf, plan)
+        tokens = tk.ByteTokenizer().encode(docs(spark, sf).select("doc_id", "text")).select("doc_id", "tokens")
+        parts.append((pk.sequences(kept, tokens, plan, t["output"]), t["sequences"]))
+    return pk.concatenated(parts).select("sequence", F.size("tokens").alias("n_tokens"))
+
+
+@query(f"WITH {_OCC}, s AS (SELECT unnest(range((SELECT total // 512 FROM t))) AS sequence) SELECT sequence FROM s WHERE sequence % 4 = 2 AND sequence > 10")
+def reader_checkpoint(spark, sf):
+    """What a reader still has to read after sequence 10, from its checkpoint document."""
+    note = pk.Checkpoint("bytes-512", rank=1, world=2, workers=2).after(10).to_json()
+    return pk.Checkpoint.from_json(note, "bytes-512").rest(_packed(spark, sf, pk.Concat(512, 256))).select("sequence")

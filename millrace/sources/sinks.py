@@ -9,16 +9,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.model import ranked, running
+from millrace.scratch import Scratch
 
-def write_selection(rows: DataFrame, path: str) -> None:
-    rows.write.mode("errorifexists").parquet(path)
+
+#: Bytes of text in a shard of a selection; a single longer text is a shard of its own. Rows and characters of the preview index.
+SHARD_BYTES, PREVIEW_ROWS, PREVIEW_CHARACTERS = 8 << 20, 1000, 1000
+
+
+def sharded(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """rows in order of document with `ordinal` from 0 and `shard`: rows that begin in the same stretch of shard_bytes of text."""
+    scratch = Scratch(rows.sparkSession, "selection")
+    order = [F.col("doc_id"), *([F.col("occurrence")] if "occurrence" in rows.columns else [])]
+    placed = ranked(running(rows, order, "n_bytes", scratch, "bytes_before"), order, scratch, "ordinal")
+    return placed.withColumn("shard", F.floor(F.col("bytes_before") / shard_bytes)).drop("bytes_before")
+
+
+def write_selection(rows: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -> None:
+    """path/rows: whole shards in order, at most 2^16 files; row groups of about shard_bytes let a reader pass other shards. path/preview: the first rows.
+
+    A shard holds less than shard_bytes of text before its last row, so it exceeds them by one text at most.
+    """
+    scratch = Scratch(rows.sparkSession, "selection")
+    placed = scratch.keep(sharded(rows, shard_bytes), "placed")
+    shards = placed.agg(F.max("shard")).first()[0]
+    spread = placed if shards is None else placed.repartitionByRange(min(shards + 1, 1 << 16), "shard")
+    spread.sortWithinPartitions("ordinal").write.option("parquet.block.size", shard_bytes).mode("errorifexists").parquet(f"{path}/rows")
+    first = placed.where(F.col("ordinal") < PREVIEW_ROWS)
+    first.select("ordinal", "doc_id", "shard", F.substring("text", 1, PREVIEW_CHARACTERS).alias("text"), (F.length("text") > PREVIEW_CHARACTERS).alias("truncated")).coalesce(1).write.mode("errorifexists").parquet(f"{path}/preview")
+
+
+def read_preview(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/preview")
 
 
 def read_selection(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
     """A stored selection; another number of rows than was committed is an error."""
-    df = spark.read.parquet(path)
-    if expected is not None and (n := df.count()) != expected:
-        raise ValueError(f"the selection at {path} has {n} rows; {expected} were committed")
+    df = spark.read.parquet(f"{path}/rows")
+    if expected is not None:
+        n, last = df.agg(F.count("*"), F.max("ordinal")).first()
+        if n != expected or n and last != n - 1:
+            raise ValueError(f"the selection at {path} has {n} rows; {expected} were committed")
     return df
 
 

@@ -16,6 +16,7 @@ from millrace.model import document_id
 from millrace.scratch import Scratch
 
 CHANGES = ("added", "changed", "removed", "unchanged")
+RECORDS = ("queries", "mixtures", "datasets", "executions")
 
 
 def changes(new: DataFrame, base: DataFrame | None) -> DataFrame:
@@ -69,6 +70,30 @@ class Catalog:
     def manifest(self, name: str, snapshot: str | None = None) -> dict:
         return self._read(f"{self.root}/corpora/{name}/{snapshot or self.latest(name)}/manifest.json")
 
+    def record(self, kind: str, name: str, value: dict) -> None:
+        """Note a query, mixture, dataset or execution; a name that is there keeps its place and takes the new value."""
+        if kind not in RECORDS or not name or "/" in name:
+            raise ValueError(f"records are of {RECORDS} and have a plain name; got {kind!r}, {name!r}")
+        self._write(f"{self.root}/{kind}/{name}.json", value | {"name": name})
+
+    def listing(self, kind: str, limit: int = 100, offset: int = 0) -> list[dict]:
+        """A page in order of name: corpora (with their latest manifest), snapshots (of all corpora) or records of a kind."""
+        if not 0 < limit <= 1000 or offset < 0:
+            raise ValueError("a page has 1 to 1000 entries")
+        page = slice(offset, offset + limit)
+        if kind == "corpora":
+            return [self.manifest(c) for c in self.corpora()[page]]
+        if kind == "snapshots":
+            return [m for c in self.corpora() for m in self.snapshots(c)][page]
+        if kind not in RECORDS:
+            raise ValueError(f"no listing of {kind!r}")
+        names = sorted({x.removesuffix(".new").removesuffix(".json") for x in self._names(f"{self.root}/{kind}")})
+        return [self._read(f"{self.root}/{kind}/{x}.json") for x in names[page]]
+
+    def documents(self, name: str, limit: int = 100, offset: int = 0) -> DataFrame:
+        """A page of a corpus's documents by key, without texts."""
+        return self.open(name).drop("text").orderBy("source_key").offset(offset).limit(limit)
+
     def capture(self, name: str, docs: DataFrame, base: str | None = None) -> str:
         """A snapshot of (source_key, text); its name. base: a snapshot of the same corpus to count changes against."""
         scratch = Scratch(self.spark, "capture")

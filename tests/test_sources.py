@@ -70,7 +70,17 @@ def test_capture_and_listings(spark, tmp_path, capsys):
         catalog.capture("demo", rd.from_rows(spark, [("a", "x"), ("a", "y")]))
     with pytest.raises(LookupError):
         catalog.open("demo", "none")
-    for what in (["corpora"], ["profile", "demo"], ["preview", "demo"], ["snapshots", "demo"]):
+    catalog.record("queries", "long", {"identity": "x", "steps": 2})
+    catalog.record("queries", "all", {"identity": "y", "steps": 0})
+    catalog.record("queries", "long", {"identity": "z", "steps": 1})
+    assert [(r["name"], r["identity"]) for r in catalog.listing("queries")] == [("all", "y"), ("long", "z")]
+    assert [r["name"] for r in catalog.listing("queries", 1, 1)] == ["long"] and catalog.listing("executions") == []
+    assert [r["corpus"] for r in catalog.listing("corpora")] == ["demo"] and len(catalog.listing("snapshots")) == 2
+    assert [r["source_key"] for r in catalog.documents("demo", 2, 1).collect()] == ["b", "d"]
+    for bad in (lambda: catalog.record("queries", "a/b", {}), lambda: catalog.record("other", "a", {}), lambda: catalog.listing("other"), lambda: catalog.listing("queries", 0)):
+        with pytest.raises(ValueError):
+            bad()
+    for what in (["queries"], ["corpora"], ["profile", "demo"], ["preview", "demo"], ["snapshots", "demo"]):
         assert main([f"{tmp_path}/db", "--json", *what], spark) == 0
     assert '"documents": 3' in capsys.readouterr().out
 
@@ -81,10 +91,16 @@ def test_sinks(spark, tmp_path):
     row = spark.read.parquet(f"{tmp_path}/shards").first()
     assert struct.unpack("<2I", row["data"]) == (1, 70000) and bytes(row["mask"]) == b"\1\0"
     assert row["digest"] == hashlib.sha256(bytes(row["data"]) + bytes(row["mask"])).hexdigest()
-    sinks.write_selection(packed, f"{tmp_path}/selection")
-    assert sinks.read_selection(spark, f"{tmp_path}/selection", 1).count() == 1
+    chosen = spark.createDataFrame([(2, "éé" * 600, 2400), (1, "a", 1), (3, "", 0), (5, "b" * 9, 9)], "doc_id long, text string, n_bytes long")
+    sinks.write_selection(chosen, f"{tmp_path}/selection", shard_bytes=10)
+    held = sinks.read_selection(spark, f"{tmp_path}/selection", 4).orderBy("ordinal").collect()
+    assert [(r["doc_id"], r["ordinal"], r["shard"]) for r in held] == [(1, 0, 0), (2, 1, 0), (3, 2, 240), (5, 3, 240)]
+    first = sinks.read_preview(spark, f"{tmp_path}/selection").orderBy("ordinal").collect()
+    assert [(len(r["text"]), r["truncated"]) for r in first] == [(1, False), (1000, True), (0, False), (9, False)]
     with pytest.raises(ValueError, match="were committed"):
         sinks.read_selection(spark, f"{tmp_path}/selection", 2)
+    sinks.write_selection(chosen.limit(0), f"{tmp_path}/none")
+    assert sinks.read_selection(spark, f"{tmp_path}/none", 0).count() == sinks.read_preview(spark, f"{tmp_path}/none").count() == 0
     sinks.write_lineage(packed.select("sequence"), f"{tmp_path}/lineage")
     sinks.write_fields(packed.select("sequence"), packed, f"{tmp_path}/fields")
     assert spark.read.json(f"{tmp_path}/lineage").count() == spark.read.json(f"{tmp_path}/fields/fields").count() == 1
