@@ -36,6 +36,8 @@ from millrace.llm.passages import document_words
 KNOWN, SPARE, SIDE, EMBED, HIDDEN = 320, 64, 3, 8, 16
 ROUNDS, BATCH, RATE, FAN, SEED = 2, 256, 0.1, 64, 11
 HELD, UNIT = 1 << 16, 1 << 24
+#: Outputs within -SAFE to SAFE have exponentials, sums of them and reciprocals well within 32 bits.
+SAFE = 60
 SIZE = KNOWN + SPARE
 PAD = SIZE
 f32 = np.float32
@@ -82,13 +84,18 @@ _ONES, _EMBED = np.ones(SIZE, f32), np.arange(EMBED)
 
 
 def _forward(weights: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, hidden layer with a last column of ones, and outputs less their greatest."""
-    e, w, b, *_ = split(weights)
+    """Inputs, hidden layer with a last column of ones, and outputs.
+
+    As the hidden layer lies within -1 to 1, weights bound the outputs; where they could overflow an exponential, outputs are
+    taken less their greatest.
+    """
+    e, w, b, u, c = split(weights)
     x = e[context].reshape(len(context), -1)
     h = np.ones((len(context), HIDDEN + 1), f32)
     h[:, :-1] = np.tanh(x @ w + b)
     p = h @ weights[-(HIDDEN + 1) * SIZE :].reshape(HIDDEN + 1, SIZE)  # u and below it c
-    p -= p.max(axis=1, keepdims=True)
+    if not np.abs(u).sum(axis=0).max() + np.abs(c).max() < SAFE:
+        p -= p.max(axis=1, keepdims=True)
     return x, h, p
 
 
@@ -112,12 +119,12 @@ def gradients(weights: np.ndarray, context: np.ndarray, target: np.ndarray) -> t
     np.exp(p, out=p)
     total = p @ _ONES
     loss = float((np.log(total) - own).mean())
-    p *= (1 / (total * n))[:, None]
-    p[rows, target] -= 1 / n
-    dz = (p @ u.T) * (1 - h[:, :-1] * h[:, :-1])
+    p[rows, target] -= total  # what scales rows is left to the narrow factors
+    scale = (1 / (total * n))[:, None]
+    dz = (p @ u.T) * (scale * (1 - h[:, :-1] * h[:, :-1]))
     at = (context.reshape(-1, 1) * EMBED + _EMBED).reshape(-1)
     de = np.bincount(at, (dz @ w.T).reshape(-1), e.size).astype(f32)
-    return loss, np.concatenate([g.reshape(-1) for g in (de, x.T @ dz, dz.sum(axis=0), h.T @ p)])
+    return loss, np.concatenate([g.reshape(-1) for g in (de, x.T @ dz, dz.sum(axis=0), (h * scale).T @ p)])
 
 
 class Descent:

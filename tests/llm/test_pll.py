@@ -19,6 +19,27 @@ def test_gradients_equal_differences():
         assert (pll.gradients(up, context, target)[0] - pll.gradients(down, context, target)[0]) / 2e-2 == pytest.approx(g[k], rel=0.05, abs=1e-3)
 
 
+@pytest.mark.parametrize("scale", [1, 20, 400])
+def test_gradients_of_large_weights(scale):
+    """Held against a softmax in 64 bits, below and beyond what exponentials of plain outputs allow."""
+    rng = np.random.default_rng(1)
+    weights = pll.first_weights()
+    weights[-(pll.HIDDEN + 1) * pll.SIZE :] *= scale
+    context, target = rng.integers(0, pll.SIZE + 1, (40, 2 * pll.SIDE)), rng.integers(0, pll.SIZE, 40)
+    e, w, b, u, c = (x.astype(np.float64) for x in pll.split(weights))
+    h = np.tanh(e[context].reshape(40, -1) @ w + b)
+    out = h @ u + c
+    out -= out.max(axis=1, keepdims=True)
+    p = out - np.log(np.exp(out).sum(axis=1, keepdims=True))
+    want = p[np.arange(40), target]
+    loss, g = pll.gradients(weights, context, target)
+    error = np.exp(p)
+    error[np.arange(40), target] -= 1
+    assert loss == pytest.approx(-want.mean(), rel=1e-4, abs=1e-4)
+    assert pll.log_probabilities(weights, context, target) == pytest.approx(want, rel=1e-3, abs=1e-3)
+    assert g[-(pll.HIDDEN + 1) * pll.SIZE :] == pytest.approx(np.r_[h.T @ error, [error.sum(axis=0)]].reshape(-1) / 40, rel=1e-2, abs=1e-4)
+
+
 def test_contexts_stay_in_their_document():
     t, at = np.arange(9), np.array([0, 4, 4, 9])
     for p, row in enumerate(pll.contexts(t, at)):
