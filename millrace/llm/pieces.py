@@ -2,7 +2,8 @@
 
 The automaton reports, at each position, every piece that ends there by following output links; each relaxes the best
 score of its end. No piece has the space mark after another character, so the best path of a text is the best paths of
-its chunks (marks, then other characters) end to end, and a worker remembers the chunks it has seen (up to MEMO).
+its chunks (marks, then other characters) end to end, and a worker remembers the chunks it has seen (up to MEMO), each with its
+ids as four bytes apiece, which are joined to a text's ids and go to Arrow as they are.
 Characters that no piece covers become byte pieces. The model file's normalization is the identity with a space put
 before the text, so decoding gives the text back exactly; a literal space mark (U+2581) in a text goes through byte pieces.
 
@@ -15,9 +16,11 @@ an empty result. Further columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,7 +80,7 @@ class Pieces:
                     raise ValueError(f"piece {p!r} has the space mark inside")
                 self.automaton.add_word(p, (len(p), score, i))
         self.automaton.make_automaton()
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, bytes] = {}
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() if kind in (NORMAL, USER) else b"" for p, _, kind in pieces]
 
     def _viterbi(self, chunk: str) -> list[int]:
@@ -110,34 +113,38 @@ class Pieces:
         return out[::-1]
 
     def encode(self, text: str | None) -> list[int]:
+        return array("i", self.packed(text)).tolist()
+
+    def packed(self, text: str | None) -> bytes:
+        """The ids of encode(), four bytes each."""
         if not text:
-            return []
+            return b""
         if MARK in text:
             return self._escaped(text)
         return self._run(MARK + text.replace(" ", MARK))
 
-    def _run(self, marked: str) -> list[int]:
+    def _run(self, marked: str) -> bytes:
         memo, out = self.memo, []
         for chunk in _CHUNK.findall(marked):
             ids = memo.get(chunk)
             if ids is None:
-                ids = self._viterbi(chunk)
+                ids = array("i", self._viterbi(chunk)).tobytes()
                 if len(chunk) <= 64:
                     if len(memo) >= MEMO:
                         memo.clear()
                     memo[chunk] = ids
-            out += ids
-        return out
+            out.append(ids)
+        return b"".join(out)
 
-    def _escaped(self, text: str) -> list[int]:
-        raw, out = [self.byte[b] for b in MARK.encode()], []
+    def _escaped(self, text: str) -> bytes:
+        raw, out = array("i", [self.byte[b] for b in MARK.encode()]).tobytes(), []
         for k, part in enumerate(text.split(MARK)):
-            out += raw if k else []
+            out += [raw] if k else []
             marked = (MARK if k == 0 else "") + part.replace(" ", MARK)
-            out += self._run(marked)
-        return out
+            out.append(self._run(marked))
+        return b"".join(out)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | array) -> str:
         return b"".join([self.bytes[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
@@ -160,9 +167,12 @@ def _encoded(model):
             texts = b.column(1).to_pylist()
             for lo in range(0, len(texts), 256):
                 part = texts[lo : lo + 256]
-                ids = [codec.encode(t) for t in part]
-                same = [codec.decode(x) == (t or "") for x, t in zip(ids, part, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(part)), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=["doc_id", "n_tokens", "tokens", "round_trip"])
+                ids = [codec.packed(t) for t in part]
+                same = [codec.decode(array("i", x)) == (t or "") for x, t in zip(ids, part, strict=True)]
+                n = np.array([len(x) >> 2 for x in ids], np.int64)
+                flat = pa.Array.from_buffers(pa.int32(), int(n.sum()), [None, pa.py_buffer(b"".join(ids))])
+                tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, n.cumsum()].astype(np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(part)), pa.array(n), tokens, pa.array(same)], names=["doc_id", "n_tokens", "tokens", "round_trip"])
 
     return run
 
