@@ -4,7 +4,7 @@ Each task feeds the digests of its rows to a small index: a memtable flushes to
 and compaction merges runs block by block, keeping the smallest identifier of each digest and the number of rows. So a task
 sends on one entry per digest, however many copies it read, and holds a block a run however many digests it meets. The runs meet
 by digest and are compacted once more; digests of several rows are groups. A filter over the digests of groups is asked in the scan of
-the texts, and only the texts that pass it are shuffled: every row that hits a group is compared with the bytes of the text that stays.
+the texts, and only the texts that pass it are shuffled, equal ones of a task once: a digest with several texts is decided by their bytes.
 
 Defined results: null texts count as empty, and empty or white texts form one group. Row order is (most code points,
 smallest doc_id, null ids last). A row that repeats another, id included, counts in group_size and reports the same
@@ -156,19 +156,14 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     ident = F.coalesce("doc_id", F.lit(NO_ID)).alias("ident")
     groups = scratch.keep(merge_index(rows.select("digest", "rank", ident, F.lit(1).cast("long").alias("count"))).where("count > 1"), "groups")
 
-    # Hits: the rows whose digest more rows have. Their bytes are held against the text that stays.
+    # Of a digest that more rows have, each task sends on every text once, however many copies it read; only digests are stored.
     may = passes(groups.select("digest"))
-    texts = whole.select("doc_id", plain.alias("plain"), F.unhex(F.sha2(plain, 256)).alias("digest")).where(may(F.col("digest")))
-    hits = scratch.keep(texts.join(groups.select("digest", "ident").hint("merge"), "digest"), "hits")
-    stays = scratch.keep(hits.where(F.coalesce("doc_id", F.lit(NO_ID)) == F.col("ident")).groupBy("digest").agg(F.min("plain").alias("first")), "stays")
-    other = hits.join(stays, "digest").where(F.col("plain") != F.col("first")).select("doc_id", "digest", "plain")
-    other = scratch.keep(other, "other")
+    texts = whole.select(F.unhex(F.sha2(plain, 256)).alias("digest"), plain.alias("plain")).where(may(F.col("digest")))
+    clash = scratch.keep(texts.distinct().groupBy("digest").count().where("count > 1").select("digest"), "clash")
     found = rows.join(groups.select("digest", "ident", "count"), "digest", "left")
-    if other.isEmpty():  # else two texts share a digest
+    if clash.isEmpty():  # else two texts share a digest
         return _decided(found)
-    by_text = _by_text(whole, plain, other)
-    clash = other.select("digest").distinct()
-    return _decided(found.join(clash, "digest", "left_anti")).unionByName(by_text)
+    return _decided(found.join(clash, "digest", "left_anti")).unionByName(_by_text(whole, plain, clash))
 
 
 def _by_text(whole: DataFrame, plain, other: DataFrame) -> DataFrame:

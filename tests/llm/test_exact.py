@@ -48,6 +48,29 @@ def test_digest_clash_is_told_apart(spark, edges):
     same(got, [(1, 3), (2, 2), (3, 3)], ["doc_id", "keep_id"])
 
 
+def test_clash_is_found_among_all_rows(spark, edges, monkeypatch):
+    """With a digest of the first character alone, most texts clash; decisions are those of the texts."""
+    sha2 = F.sha2
+    monkeypatch.setattr(exact.F, "sha2", lambda c, bits: sha2(F.substring(c, 1, 1), bits))
+    same(exact.exact_dedup(edges), [r[:4] for r in brute(EDGES)], ["doc_id", "keep_id", "group_size", "kept"])
+
+
+def test_stores_digests_and_no_texts(spark, monkeypatch):
+    """In a local folder each file stored makes an executor start processes: two tables of numbers and digests are stored, and the clashes."""
+    rows = spark.range(0, 4000, 1, 40).selectExpr("id as doc_id", "concat('text ', repeat('long ', 50), cast(id % 900 as string)) as text")
+    made, keep = {}, exact.Scratch.keep
+
+    def watched(self, df, name):
+        out = keep(self, df, name)
+        made[name] = (out.dtypes, len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(exact.Scratch, "keep", watched)
+    assert exact.exact_dedup(rows).where("kept").count() == 900
+    assert {kind for dtypes, _ in made.values() for _, kind in dtypes} == {"bigint", "binary"}
+    assert sum(files for _, files in made.values()) <= 40 + int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(-9, 0), st.integers(0, 99)), max_size=200), st.integers(2, 9))
 def test_merge_index_equals_a_dict(items, memtable):
