@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import hashing
 from millrace.functions import text as T
 
 # Published word lists, thresholds and source shares.
@@ -60,8 +64,43 @@ def _repeats(parts: Column, chars: Column) -> tuple[Column, Column]:
     return (F.size(parts) - F.size(distinct)) / F.greatest(F.size(parts), F.lit(1)), (size(parts) - size(distinct)) / F.greatest(chars, F.lit(1))
 
 
+def _gram_shares(column: pa.Array) -> np.ndarray:
+    """By text, the worst ratio of its repeated n-grams to their limits.
+
+    A gram is numbered by the number of its first n - 1 words and its last word, so equal numbers are equal grams of one text;
+    only places whose shorter gram repeats go on.
+    """
+    worst = np.zeros(len(column))
+    for first, data, off in hashing.slices(column):
+        start, end, text = hashing.spans(data, off)
+        if not len(start):
+            continue
+        heads = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]  # characters before each byte
+        here, chars = worst[first : first + len(off) - 1], np.maximum(np.diff(heads[off]), 1)
+        before = np.r_[0, np.cumsum(heads[end] - heads[start])]  # characters of the words before each word
+        known, word = np.unique(hashing.words(data, start, end), return_inverse=True)
+        at, gram = np.arange(len(text)), text * len(known) + word
+        for n in range(2, max(*TOP, *REPEATED) + 1):
+            on = at + n - 1 < len(text)
+            on[on] = text[at[on]] == text[at[on] + n - 1]
+            at = at[on]
+            _, place, gram, times = np.unique(gram[on] * len(known) + word[at + n - 1], return_index=True, return_inverse=True, return_counts=True)
+            again = times > 1
+            head, k = at[place[again]], times[again]
+            by, size = text[head], before[head + n] - before[head] + n - 1
+            amount = np.zeros(len(here), np.int64)
+            if n in TOP:
+                order = np.lexsort((size, k, by))  # the last of a text is its most frequent, of those the longest
+                amount[by[order]] = (k * size)[order]
+            else:
+                np.add.at(amount, by, (k - 1) * size)
+            np.maximum(here, amount / chars / (TOP | REPEATED)[n], out=here)
+            at, gram = at[again[gram]], gram[again[gram]]
+    return worst
+
+
 def repetition_shares(docs: DataFrame) -> DataFrame:
-    """doc_id with the worst ratio to its limit; a document passes with at most 1. Grams are counted by document in the cluster."""
+    """doc_id with the worst ratio to its limit; a document passes with at most 1. Grams are counted where the document is, so none is shuffled."""
     text, n = F.col("text"), F.length("text")
     lines = F.filter(F.split(F.trim(text), r"\n+"), lambda x: x != "")
     paragraphs = F.filter(F.split(F.trim(text), r"\n{2,}"), lambda x: x != "")
@@ -69,17 +108,14 @@ def repetition_shares(docs: DataFrame) -> DataFrame:
     for parts in (paragraphs, lines):
         number, chars = _repeats(parts, n)
         ratios += [number / LINES, chars / LINE_CHARS]
-    flat = docs.select("doc_id", F.greatest(*ratios).alias("worst"), n.alias("chars"))
-    each = None
-    for k in (*TOP, *REPEATED):
-        grams = docs.select("doc_id", F.lit(k).alias("n"), F.posexplode(T.word_grams(text, k, lambda g: F.struct(T.gram_hash(g).alias("h"), F.length(F.array_join(g, " ")).alias("size")), hashed=False)).alias("at", "g"))
-        each = grams if each is None else each.unionByName(grams)
-    by = each.groupBy("doc_id", "n", "g.h").agg(F.count("*").alias("times"), F.first("g.size").alias("size"))
-    top = by.groupBy("doc_id", "n").agg(F.max(F.when(F.col("times") > 1, F.struct("times", F.col("size").alias("size")))).alias("top"), F.sum((F.col("times") - 1) * F.col("size")).alias("again"))
-    limit = F.create_map(*[F.lit(x) for kv in (TOP | REPEATED).items() for x in kv])
-    amount = F.when(F.col("n") <= 4, F.coalesce(F.col("top.times") * F.col("top.size"), F.lit(0))).otherwise(F.col("again"))
-    scored = top.join(flat.select("doc_id", "chars"), "doc_id").groupBy("doc_id").agg(F.max(amount / F.greatest("chars", F.lit(1)) / limit[F.col("n")]).alias("grams"))
-    return flat.join(scored, "doc_id", "left").select("doc_id", F.greatest("worst", F.coalesce("grams", F.lit(0.0))).alias("worst"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = b.column(1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.maximum(flat, _gram_shares(b.column(2))))], names=["doc_id", "worst"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.coalesce(F.greatest(*ratios), F.lit(0.0)).alias("worst"), "text").mapInArrow(run, f"doc_id {kind}, worst double")
 
 
 def gopher_repetition(docs: DataFrame) -> DataFrame:
