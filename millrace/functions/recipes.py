@@ -40,7 +40,7 @@ def quality_checks(text: Column) -> Column:
     """One struct of the measured values."""
 
     def of(w: Column) -> Column:
-        n = F.size(w)
+        n = F.nullif(F.size(w), F.lit(0))  # a text without words has no shares, and doesn't pass
         lines = F.split(text, "\n")
         symbols = F.size(F.filter(w, lambda x: x.contains("#"))) + F.size(F.filter(w, lambda x: x.contains("...") | x.contains("…")))
         return F.struct(

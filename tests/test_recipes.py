@@ -9,6 +9,11 @@ import pytest
 from millrace.functions import recipes
 
 
+def test_quality_of_texts_without_words(spark):
+    rows = [(1, ""), (2, " \n "), (3, None), (4, "the cat and the dog have a house " * 10)]
+    assert [r["doc_id"] for r in recipes.gopher_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [4]
+
+
 def grams_worst(text: str) -> float:
     words, worst = text.split(), 0.0
     for n, limit in (recipes.TOP | recipes.REPEATED).items():
