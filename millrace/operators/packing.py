@@ -87,15 +87,20 @@ def sequences(kept: DataFrame, tokens: DataFrame, plan: Concat, output: int) ->
     """
     length = plan.length
     own = kept.select("doc_id", "start", "size", "emitted").join(tokens, "doc_id")
-    content = own.where("emitted > 0").select("doc_id", "start", "emitted", "tokens", F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("emitted") - 1) / length))).alias("sequence"))
-    lo = F.greatest(F.col("start"), F.col("sequence") * length)
-    hi = F.least(F.col("start") + F.col("emitted"), (F.col("sequence") + 1) * length)
-    piece = lambda at, n, ids, kind, doc, offset: F.struct((at - F.col("sequence") * length).cast("int").alias("at"), n.cast("int").alias("n"), ids.alias("ids"), F.lit(kind).alias("kind"), doc.alias("doc_id"), offset.cast("long").alias("offset"))
-    parts = content.select("sequence", piece(lo, hi - lo, F.slice("tokens", (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int")), "content", F.col("doc_id"), lo - F.col("start")).alias("p"))
+    piece = lambda at, n, ids, kind, doc, offset, sequence: F.struct((at - sequence * length).cast("int").alias("at"), n.cast("int").alias("n"), ids.alias("ids"), F.lit(kind).alias("kind"), doc.alias("doc_id"), offset.cast("long").alias("offset"))
+    first, last = F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("emitted") - 1) / length)
+
+    def cut(sequence: Column) -> Column:
+        lo, hi = F.greatest(F.col("start"), sequence * length), F.least(F.col("start") + F.col("emitted"), (sequence + 1) * length)
+        ids = F.slice("tokens", (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int"))
+        return F.struct(sequence.alias("sequence"), piece(lo, hi - lo, ids, "content", F.col("doc_id"), lo - F.col("start"), sequence).alias("p"))
+
+    # Cut before the explosion: a row of it carries its own piece, not all tokens of the document.
+    parts = own.where("emitted > 0").select(F.explode(F.transform(F.sequence(first, last), cut)).alias("x")).select("x.*")
     if plan.extra:
         place = F.col("start") + F.col("size")
         sep = kept.where(place < output).withColumn("sequence", F.floor(place / length))
-        parts = parts.unionByName(sep.select("sequence", piece(place, F.lit(1), F.array(F.lit(plan.separator)), "separator", F.col("doc_id"), F.col("size")).alias("p")))
+        parts = parts.unionByName(sep.select("sequence", piece(place, F.lit(1), F.array(F.lit(plan.separator)), "separator", F.col("doc_id"), F.col("size"), F.col("sequence")).alias("p")))
     whole = parts.groupBy("sequence").agg(F.array_sort(F.collect_list("p")).alias("parts"))
     filled = F.aggregate("parts", F.lit(0), lambda n, p: n + p["n"])
     ids = F.flatten(F.transform("parts", lambda p: p["ids"]))
