@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,14 +63,19 @@ def write_fields(fields: DataFrame, evidence: DataFrame, path: str) -> None:
     evidence.write.mode("errorifexists").parquet(f"{path}/evidence")
 
 
+def _bytes(lists: pa.ListArray, kind: str) -> pa.BinaryArray:
+    """Each list of numbers as bytes, made of the column's own buffer."""
+    data = lists.flatten().to_numpy(zero_copy_only=False).astype(kind)
+    ends = np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))] * data.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
 def token_shards(packed: DataFrame) -> DataFrame:
     """sequence, data (little-endian 32-bit tokens), mask (a byte a token), digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = [struct.pack(f"<{len(t)}I", *t) for t in b.column(1).to_pylist()]
-            mask = [bytes(m) for m in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary()), pa.array(mask, pa.binary())], names=["sequence", "data", "mask"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _bytes(b.column(1), "<i4"), _bytes(b.column(2), "u1")], names=["sequence", "data", "mask"])
 
     kind = packed.schema["sequence"].dataType.simpleString()
     return packed.select("sequence", "tokens", "loss_mask").mapInArrow(run, f"sequence {kind}, data binary, mask binary").withColumn("digest", F.sha2(F.concat("data", "mask"), 256))
