@@ -124,3 +124,11 @@ def test_population_takes_nulls_and_clashing_names(spark):
     assert [(r["text"], r["n_bytes"], r["n_chars"]) for r in rows] == [("", 0, 0), ("é", 2, 1)]
     assert population(df.limit(0)).count() == 0 and rows[0]["content"] == hashlib.sha256(b"").hexdigest()
     assert population(df).where(F.col("source_key") == "2").count() == 1
+
+
+def test_small_shards_share_files(spark, tmp_path):
+    rows = spark.range(50).selectExpr("id as doc_id", "repeat('x', 10) as text", "10L as n_bytes").repartition(5)
+    sinks.write_selection(rows, f"{tmp_path}/s", shard_bytes=20)
+    held = sinks.read_selection(spark, f"{tmp_path}/s", 50).collect()
+    assert sorted((r["doc_id"], r["ordinal"], r["shard"]) for r in held) == [(k, k, k // 2) for k in range(50)]
+    assert len(list((tmp_path / "s" / "rows").glob("*.parquet"))) == 1
