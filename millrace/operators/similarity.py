@@ -15,8 +15,8 @@ from collections.abc import Iterator, Sequence
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +28,8 @@ from millrace.scratch import Scratch
 
 #: Up to so many edges one task finishes alone; a bound on its memory, not on the edges.
 ALONE = 1 << 20
+#: Cosine products held at once, and edges sent on at once.
+TILE, EDGES = 1 << 22, 1 << 17
 PLACES, BANDS, CHARACTERS, SEED = 128, 16, 5, 42
 
 
@@ -109,7 +111,7 @@ def _unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True)), ok
 
 
-def cosine_edges(docs: DataFrame, threshold: float, vector: str = "embedding", block: int = 2048, pivots: int = 256) -> tuple[DataFrame, DataFrame]:
+def cosine_edges(docs: DataFrame, threshold: float, vector: str = "embedding", block: int = 16384, pivots: int = 256) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b, similarity) between representatives of equal vectors, and classes (doc_id, rep); null and zero vectors have neither."""
     check_threshold(threshold)
     spark = docs.sparkSession
@@ -119,7 +121,7 @@ def cosine_edges(docs: DataFrame, threshold: float, vector: str = "embedding", b
     first = rows.groupBy("v").agg(F.min("doc_id").alias("rep"))
     classes = scratch.keep(rows.join(first, "v").select("doc_id", "rep"), "classes")
     reps = scratch.keep(first, "reps")
-    wanted = min(pivots, reps.count() // (block // 4) + 1)  # cells of about a quarter of a block, so blocks are few where rows are
+    wanted = min(pivots, reps.count() // block + 1)  # cells of about a block: a vector goes to each block in reach, so blocks are large and few
     sample = [r["v"] for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(wanted).collect()]  # at most `pivots` rows
     if not sample:
         return spark.createDataFrame([], f"a {kind}, b {kind}, similarity double"), classes
@@ -131,15 +133,15 @@ def cosine_edges(docs: DataFrame, threshold: float, vector: str = "embedding", b
             x, _ = _unit(b.column(1).to_pylist())
             angle = np.arccos(np.clip(x @ centre.T, -1, 1))
             cell = angle.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64())), pa.array(cell.astype(np.int32)), pa.array(angle[np.arange(len(cell)), cell])], names=["rep", "u", "cell", "angle"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([u.tobytes() for u in x], pa.binary()), pa.array(cell.astype(np.int32)), pa.array(angle[np.arange(len(cell)), cell])], names=["rep", "u", "cell", "angle"])
 
-    homes = scratch.keep(reps.select("rep", "v").mapInArrow(assign, f"rep {kind}, u array<double>, cell int, angle double"), "homes")
+    homes = scratch.keep(reps.select("rep", "v").mapInArrow(assign, f"rep {kind}, u binary, cell int, angle double"), "homes")
     cells = {r["cell"]: (r["n"], r["radius"]) for r in homes.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}
     parts = {c: max(1, -(-n // block)) for c, (n, _) in cells.items()}
 
     names = sorted(cells)
     start = dict(zip(names, np.r_[0, np.cumsum([parts[c] for c in names])][:-1].tolist(), strict=True))
-    fields = [pa.field("u", pa.list_(pa.float64())), pa.field("p", pa.int32()), pa.field("q", pa.int32()), pa.field("right", pa.bool_())]
+    fields = [pa.field("u", pa.binary()), pa.field("p", pa.int32()), pa.field("q", pa.int32()), pa.field("right", pa.bool_())]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector to the blocks (p <= q) of its part and any part of a cell that may hold a vector within reach."""
@@ -147,7 +149,7 @@ def cosine_edges(docs: DataFrame, threshold: float, vector: str = "embedding", b
             schema, out = pa.schema([pa.field("rep", b.schema.field(0).type), *fields]), []
             for rep, u, cell in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 mine = start[cell] + zlib.crc32(str(rep).encode()) % parts[cell]
-                angle = np.arccos(np.clip(centre @ np.array(u), -1, 1))
+                angle = np.arccos(np.clip(centre @ np.frombuffer(u), -1, 1))
                 for c in names:
                     if c == cell or angle[c] - cells[c][1] <= reach:
                         out += [(rep, u, min(mine, o), max(mine, o), o < mine) for o in range(start[c], start[c] + parts[c])]
@@ -157,18 +159,47 @@ def cosine_edges(docs: DataFrame, threshold: float, vector: str = "embedding", b
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = (pdf, pdf) if pdf["p"].iloc[0] == pdf["q"].iloc[0] else (pdf[~pdf["right"]], pdf[pdf["right"]])
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        s = np.stack(left["u"].tolist()) @ np.stack(right["u"].tolist()).T
-        i, j = np.nonzero(s >= threshold)
-        a, b, s = left["rep"].to_numpy()[i], right["rep"].to_numpy()[j], s[i, j]
-        keep = a < b if left is right else np.ones(len(a), bool)
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": s[keep]})
-
-    sent = homes.mapInArrow(spread, f"rep {kind}, u array<double>, p int, q int, right boolean")
-    return scratch.keep(sent.groupBy("p", "q").applyInPandas(meet, f"a {kind}, b {kind}, similarity double"), "edges"), classes
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come block pair by block pair; TILE products are looked at at once."""
+        held, key = [], None
+        for b in batches:
+            at = np.stack([b.column(c).to_numpy() for c in (2, 3)])
+            cuts = np.r_[0, np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1, b.num_rows]
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if hi > lo:
+                    if held and key != tuple(at[:, lo]):
+                        yield from compared(held, key)
+                        held = []
+                    key = tuple(at[:, lo])
+                    held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from compared(held, key)
+
+    def compared(held: list[pa.RecordBatch], key: tuple) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(held)
+        x = np.frombuffer(b"".join(whole.column("u").to_pylist())).reshape(whole.num_rows, -1)
+        names, right = whole.column("rep").combine_chunks(), whole.column("right").to_numpy()
+        same = key[0] == key[1]
+        rows, columns = (np.arange(len(x)),) * 2 if same else (np.flatnonzero(~right), np.flatnonzero(right))
+        if not len(rows) or not len(columns):
+            return
+        left, other, step = names.take(pa.array(rows)), names.take(pa.array(columns)), max(1, TILE // len(columns))
+        y = x[columns].T
+        for lo in range(0, len(rows), step):
+            s = x[rows[lo : lo + step]] @ y
+            i, j = np.nonzero(s >= threshold)
+            a, b = left.take(pa.array(i + lo)), other.take(pa.array(j))
+            if same:  # each pair is met twice, and each vector by itself
+                keep = pc.less(a, b)
+                a, b, near = a.filter(keep), b.filter(keep), s[i, j][keep.to_numpy(zero_copy_only=False)]
+            else:
+                swap, near = pc.less(b, a), s[i, j]
+                a, b = pc.if_else(swap, b, a), pc.if_else(swap, a, b)
+            for k in range(0, len(near), EDGES):
+                yield pa.RecordBatch.from_arrays([a.slice(k, EDGES), b.slice(k, EDGES), pa.array(near[k : k + EDGES])], names=["a", "b", "similarity"])
+
+    sent = homes.mapInArrow(spread, f"rep {kind}, u binary, p int, q int, right boolean").repartition("p", "q").sortWithinPartitions("p", "q")
+    return scratch.keep(sent.mapInArrow(meet, f"a {kind}, b {kind}, similarity double"), "edges"), classes
 
 
 # Character MinHash

@@ -221,3 +221,14 @@ def test_ranks_and_running_sums(spark):
         expect[k], total = total, total + n
     assert {r["id"]: r["before"] for r in running(df, order, "n", Scratch(spark, "test")).collect()} == expect
     assert running(df.limit(0), order, "n", Scratch(spark, "test")).count() == 0
+
+
+def test_cosine_in_small_tiles(spark, monkeypatch):
+    """Few products and edges at once give the same edges, and the default block sends a vector to few others."""
+    many = spark.createDataFrame([(k, [float(k % 7), 1.0, float(k % 5), k / 9]) for k in range(60)], "doc_id long, embedding array<double>")
+    whole = sorted(map(tuple, si.cosine_edges(many, 0.9)[0].select("a", "b").collect()))
+    real = si.cosine_edges.__defaults__
+    assert real[1] >= 1 << 14 and si.TILE <= 1 << 22
+    monkeypatch.setattr(si, "TILE", 64)
+    monkeypatch.setattr(si, "EDGES", 3)
+    assert whole and sorted(map(tuple, si.cosine_edges(many, 0.9, block=20, pivots=3)[0].select("a", "b").collect())) == whole
